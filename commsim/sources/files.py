@@ -39,10 +39,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def read_lines(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
-    """One trimmed value per non-empty line, such as an allow-list or an affix list."""
-    lines = spark.read.text(path).select(F.trim("value").alias(name))
-    return lines.where(F.col(name) != "")
+def read_lines(spark: SparkSession, path: str, name: str = "name", trim: bool = True) -> DataFrame:
+    """One value per non-empty line, such as an allow-list; ``trim=False`` keeps spaces, as affixes need."""
+    value = F.trim("value") if trim else F.col("value")
+    return spark.read.text(path).select(value.alias(name)).where(F.col(name) != "")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
