@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commsim.operators.index import DenseIndex
-from commsim.session import materialize, small
+from commsim.session import small
 
 
 def author_edges(posts: DataFrame, exclude_author: str | None = "[deleted]") -> DataFrame:
@@ -39,14 +39,14 @@ def pair_counts(counts: DataFrame, communities: DenseIndex, support: float = 0.0
     ``counts`` comes from :func:`commsim.operators.pairs.pair_overlaps`. Each pair appears once, in list
     order; pairs without a common author do not appear.
     """
-    own = counts.where((F.col("i") == F.col("j")) & (F.col("common") >= support)).select("i", "common")
-    named = materialize(
-        own.join(small(communities.frame.withColumnRenamed("ord", "i")), "i"), "items"
+    own = counts.where((F.col("i") == F.col("j")) & (F.col("common") >= support)).select(
+        F.col("i").alias("ord"), F.col("common").alias("n")
     )
-    first = named.select("i", F.col("community").alias("s1"), F.col("common").alias("n1"))
-    second = named.select(F.col("i").alias("j"), F.col("community").alias("s2"), F.col("common").alias("n2"))
+    items = own.join(communities.bounded(communities.frame), "ord")
+    first = items.select(F.col("ord").alias("i"), F.col("community").alias("s1"), F.col("n").alias("n1"))
+    second = items.select(F.col("ord").alias("j"), F.col("community").alias("s2"), F.col("n").alias("n2"))
     pairs = counts.where((F.col("i") < F.col("j")) & (F.col("common") >= support))
-    joined = pairs.join(small(first), "i").join(small(second), "j")
+    joined = pairs.join(communities.bounded(first), "i").join(communities.bounded(second), "j")
     return joined.select("s1", "s2", "n1", "n2", F.col("common").alias("freq"))
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commsim.session import materialize
+from commsim.session import fits_broadcast, materialize
 
 ROW_BITS = 33
 EXPAND_CHUNK = 10_000
+MAX_SMALL = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -21,23 +23,27 @@ class DenseIndex:
     frame: DataFrame
     size: int
 
+    @cached_property
+    def is_small(self) -> bool:
+        """Whether the table, by its measured size, may be broadcast."""
+        return self.size <= MAX_SMALL and fits_broadcast(self.frame)
 
-def dense_index(values: DataFrame, value: str, index: str = "index") -> DenseIndex:
-    """Number the distinct ``value``s densely, without sorting them in one place.
+    def bounded(self, df: DataFrame) -> DataFrame:
+        """``df``, which has at most one narrow row per indexed value, marked for broadcast if the index is small."""
+        return F.broadcast(df) if self.is_small else df
+
+
+def number_rows(rows: DataFrame, by: str, index: str = "index") -> DenseIndex:
+    """Add dense ids to ``rows``, in order of the unique column ``by``, without sorting them in one place.
 
-    Values are range-partitioned and sorted, and each row's place in its partition is written with it,
-    so a later re-read or retry cannot renumber. Only the partition sizes reach the driver.
+    Rows are range-partitioned and sorted, and each row's place in its partition is written with it, so a
+    later re-read or retry cannot renumber. Only the partition sizes reach the driver.
     """
     placed = (
-        values.select(value)
-        .distinct()
-        .repartitionByRange(value)
-        .sortWithinPartitions(value)
-        .select(
-            value,
-            F.spark_partition_id().alias("part"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("place"),
-        )
+        rows.repartitionByRange(by)
+        .sortWithinPartitions(by)
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
     )
     stored = materialize(placed, "index")
     sizes = sorted(stored.groupBy("part").agg((F.max("place") + 1).alias("n")).collect())
@@ -45,9 +51,14 @@ def dense_index(values: DataFrame, value: str, index: str = "index") -> DenseInd
     for part, n in sizes:
         offsets.append((part, total))
         total += n
-    starts = values.sparkSession.createDataFrame(offsets, "part int, start bigint")
+    starts = rows.sparkSession.createDataFrame(offsets, "part int, start bigint")
     numbered = stored.join(F.broadcast(starts), "part")
-    return DenseIndex(numbered.select(value, (F.col("start") + F.col("place")).alias(index)), total)
+    return DenseIndex(numbered.select(*rows.columns, (F.col("start") + F.col("place")).alias(index)), total)
+
+
+def dense_index(values: DataFrame, value: str, index: str = "index") -> DenseIndex:
+    """Number the distinct ``value``s in their own order."""
+    return number_rows(values.select(value).distinct(), value, index)
 
 
 def components(edges: DataFrame, index: DenseIndex, feature: str, community: str = "subreddit") -> DataFrame:
@@ -73,10 +84,11 @@ def repeated_components(edges: DataFrame, index: DenseIndex, feature: str, commu
 def community_vectors(parts: DataFrame, size: int, block: int = 4096, community: str = "subreddit") -> DataFrame:
     """Binary sparse vectors in blocks: ``(community, block, size, indices)``.
 
-    A community's vector has as many entries as it has features, too many for one row. Each row holds
-    the sorted ids of one range of ``block`` dimensions; ``size`` is the length of the whole vector.
+    ``parts`` are distinct components. A community's vector has as many entries as it has features, too
+    many for one row. Each row holds the sorted ids of one range of ``block`` dimensions; ``size`` is the
+    length of the whole vector.
     """
-    blocked = parts.distinct().withColumn("block", F.floor(F.col("index") / block))
+    blocked = parts.withColumn("block", F.floor(F.col("index") / block))
     grouped = blocked.groupBy(community, "block").agg(F.sort_array(F.collect_list("index")).alias("indices"))
     return grouped.select(community, "block", F.lit(size).cast("long").alias("size"), "indices")
 

@@ -11,6 +11,7 @@ from commsim.operators.pairs import directed_pairs
 from commsim.session import small
 
 MIN_SHARED_AFFIX = 4
+LISTS = ("affixes", "mods", "mentions")
 
 # Shares of the three measures in the metadata score.
 AFFIX_WEIGHT = 0.3
@@ -46,7 +47,7 @@ def assemble(names: DataFrame, affixes: DataFrame, mods: DataFrame, mentioned: D
 def first_rows(metadata: DataFrame, names: DenseIndex, count: int) -> DataFrame:
     """The metadata of the first ``count`` listed names."""
     head = names.frame.where(F.col("ord") < count).select(F.col("community").alias("name"))
-    return metadata.join(F.broadcast(head) if count <= 100_000 else head, "name", "left_semi")
+    return metadata.join(names.bounded(head), "name", "left_semi")
 
 
 def metadata_pairs(metadata: DataFrame, names: DenseIndex) -> DataFrame:
@@ -54,10 +55,12 @@ def metadata_pairs(metadata: DataFrame, names: DenseIndex) -> DataFrame:
 
     ``metadata`` is a written table with one row per name.
     """
-    sides = []
-    for side, pair_name in (("target", "s1"), ("other", "s2")):
-        sides.append(small(metadata.select(F.col("name").alias(pair_name), *[F.col(c).alias(f"{side}_{c}") for c in ("affixes", "mods", "mentions")])))
-    return directed_pairs(names).join(sides[0], "s1").join(sides[1], "s2")
+    known = small(metadata)
+    target, other = (
+        known.select(F.col("name").alias(pair), *[F.col(c).alias(f"{side}_{c}") for c in LISTS])
+        for side, pair in (("target", "s1"), ("other", "s2"))
+    )
+    return directed_pairs(names).join(target, "s1").join(other, "s2")
 
 
 def with_affix_score(pairs: DataFrame, words: DataFrame, any_affix: bool = False) -> DataFrame:

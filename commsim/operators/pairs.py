@@ -12,21 +12,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commsim.operators.index import DenseIndex, dense_index
-from commsim.session import materialize, small
+from commsim.operators.index import DenseIndex, dense_index, number_rows
+from commsim.session import materialize
 
 TILE = 64
 PAIRS_PER_TASK = 4_000_000
 
 
-def community_index(names: DataFrame, name: str = "subreddit") -> DenseIndex:
-    """Dense ordinals of the distinct communities, as columns ``community`` and ``ord``."""
-    return dense_index(names.select(F.col(name).alias("community")).where("community is not null"), "community", "ord")
+def community_index(names: DataFrame, name: str = "subreddit", order: str | None = None) -> DenseIndex:
+    """Dense ordinals of the listed communities, as columns ``community`` and ``ord``.
+
+    Distinct names are numbered alphabetically; with ``order``, a column of list places, each name is
+    numbered by its first place.
+    """
+    listed = names.where(F.col(name).isNotNull())
+    if order is None:
+        return dense_index(listed.select(F.col(name).alias("community")), "community", "ord")
+    placed = listed.groupBy(F.col(name).alias("community")).agg(F.min(order).alias("place_in_list"))
+    numbered = number_rows(placed, "place_in_list", "ord")
+    return DenseIndex(numbered.frame.select("community", "ord"), numbered.size)
 
 
 def with_ordinals(df: DataFrame, communities: DenseIndex, community: str = "subreddit") -> DataFrame:
     """Rows of listed communities, with the community's ``ord``."""
-    return df.join(small(communities.frame.withColumnRenamed("community", community)), community)
+    return df.join(communities.bounded(communities.frame.withColumnRenamed("community", community)), community)
 
 
 def _partners(communities: DenseIndex, first: Column) -> DataFrame:
@@ -43,7 +52,7 @@ def pair_spine(communities: DenseIndex) -> DataFrame:
     )
     left = _partners(communities, later).select(F.col("community").alias("s1"), F.col("ord").alias("i"), F.col("other").alias("j"))
     right = communities.frame.select(F.col("community").alias("s2"), F.col("ord").alias("j"))
-    return left.join(small(right), "j").select("i", "j", "s1", "s2")
+    return left.join(communities.bounded(right), "j").select("i", "j", "s1", "s2")
 
 
 def directed_pairs(communities: DenseIndex) -> DataFrame:
@@ -51,7 +60,7 @@ def directed_pairs(communities: DenseIndex) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(communities.size - 1).cast("long")), lambda o: o != F.col("ord"))
     left = _partners(communities, others).select(F.col("community").alias("s1"), F.col("ord").alias("i"), F.col("other").alias("j"))
     right = communities.frame.select(F.col("community").alias("s2"), F.col("ord").alias("j"))
-    return left.join(small(right), "j").select("i", "j", "s1", "s2")
+    return left.join(communities.bounded(right), "j").select("i", "j", "s1", "s2")
 
 
 def tile(ordinal: Column) -> Column:
@@ -69,8 +78,8 @@ def ordinals(part: Column) -> Column:
     return F.transform(bits, lambda b: part["tile"].cast("long") * TILE + b)
 
 
-def overlaps(edges: DataFrame, size: int, feature: str) -> DataFrame:
-    """Numbers of shared features ``(i, j, common)`` for all ``i <= j`` that share one; ``i = j`` is a community's own number.
+def memberships(edges: DataFrame, size: int, feature: str) -> DataFrame:
+    """Each feature with its communities as an array of ``{tile, mask}`` structs, one per tile: ``(feature, parts)``.
 
     ``edges`` has ``ord`` (see :func:`with_ordinals`) and ``feature``, with or without repeats. ``size``
     is the number of communities.
@@ -82,10 +91,22 @@ def overlaps(edges: DataFrame, size: int, feature: str) -> DataFrame:
     )
     part = F.struct("tile", "mask")
     if size <= TILE:
-        sets = masks.select(F.array(part).alias("parts"))
-    else:
-        sets = masks.groupBy(feature).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    weighted = sets.groupBy("parts").agg(F.count("*").alias("weight"))
+        return masks.select(feature, F.array(part).alias("parts"))
+    return masks.groupBy(feature).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+
+
+def member_rows(features: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``ord`` of every member of every feature, the distinct edges of :func:`memberships`."""
+    parts = features.select(*keys, F.explode_outer("parts").alias("part"))
+    return parts.select(*keys, F.explode_outer(ordinals(F.col("part"))).alias("ord"))
+
+
+def overlaps(edges: DataFrame, size: int, feature: str) -> DataFrame:
+    """Numbers of shared features ``(i, j, common)`` for all ``i <= j`` that share one; ``i = j`` is a community's own number.
+
+    Arguments as for :func:`memberships`.
+    """
+    weighted = memberships(edges, size, feature).groupBy("parts").agg(F.count("*").alias("weight"))
     if size <= TILE:
         blocks = weighted.select(F.col("parts")[0].alias("a"), F.col("parts")[0].alias("b"), "weight")
     else:
@@ -104,8 +125,8 @@ def pair_overlaps(edges: DataFrame, communities: DenseIndex, feature: str, commu
     return materialize(overlaps(with_ordinals(edges, communities, community), communities.size, feature), "overlaps")
 
 
-def _own_counts(counts: DataFrame, ordinal: str, n: str) -> DataFrame:
-    return small(counts.where("i = j").select(F.col("i").alias(ordinal), F.col("common").alias(n)))
+def _own_counts(counts: DataFrame, communities: DenseIndex, ordinal: str, n: str) -> DataFrame:
+    return communities.bounded(counts.where("i = j").select(F.col("i").alias(ordinal), F.col("common").alias(n)))
 
 
 def jaccard(counts: DataFrame, communities: DenseIndex) -> DataFrame:
@@ -116,8 +137,8 @@ def jaccard(counts: DataFrame, communities: DenseIndex) -> DataFrame:
     joined = (
         pair_spine(communities)
         .join(counts.where("i < j"), ["i", "j"], "left")
-        .join(_own_counts(counts, "i", "n1"), "i", "left")
-        .join(_own_counts(counts, "j", "n2"), "j", "left")
+        .join(_own_counts(counts, communities, "i", "n1"), "i", "left")
+        .join(_own_counts(counts, communities, "j", "n2"), "j", "left")
         .na.fill(0, ["common", "n1", "n2"])
     )
     union = F.col("n1") + F.col("n2") - F.col("common")

@@ -24,11 +24,17 @@ def author_overlaps(posts: DataFrame, communities: DenseIndex, exclude_author: s
     return pairs.pair_overlaps(rows, communities, "author")
 
 
-def posts_to_vectors(posts: DataFrame, block: int = 4096) -> DataFrame:
-    """Binary n-gram vectors of all communities, in blocks of dimensions."""
-    edges = materialize(text.ngram_edges(posts), "edges")
-    vocabulary = index.dense_index(edges, "ngram")
-    return index.community_vectors(index.components(edges, vocabulary, "ngram"), vocabulary.size, block)
+def posts_to_vectors(posts: DataFrame, communities: DenseIndex, block: int = 4096) -> DataFrame:
+    """Binary n-gram vectors of all listed communities, in blocks of dimensions.
+
+    Each gram carries its communities while it is numbered, which saves joining edges and index.
+    """
+    grams = text.ngram_occurrences(pairs.with_ordinals(posts, communities), "ord")
+    vocabulary = index.number_rows(pairs.memberships(grams, communities.size, "ngram"), "ngram")
+    cells = pairs.member_rows(vocabulary.frame, "index")
+    vectors = index.community_vectors(cells, vocabulary.size, block, community="ord")
+    named = communities.frame.select("ord", F.col("community").alias("subreddit"))
+    return vectors.join(communities.bounded(named), "ord").select("subreddit", "block", "size", "indices")
 
 
 def text_scores(posts: DataFrame, communities: DenseIndex) -> DataFrame:

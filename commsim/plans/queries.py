@@ -232,7 +232,8 @@ def community_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def community_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = pipelines.posts_to_vectors(tables.texts(spark, sf_dir), VECTOR_BLOCK)
+    posts = tables.texts(spark, sf_dir)
+    vectors = pipelines.posts_to_vectors(posts, pairs.community_index(posts), VECTOR_BLOCK)
     return vectors.select("subreddit", "block", "size", _joined("indices", ",").alias("indices"))
 
 

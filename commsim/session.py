@@ -54,19 +54,23 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its measured size allows it, else ``df`` as it is.
-
-    Measuring runs ``df``, so hand in a written table. Without the mark, Spark joins by shuffle and
-    its adaptive skew handling splits hot keys.
-    """
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` take at most ``max_bytes``. Measuring runs ``df``, so hand in a written table."""
     widths = [
         F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
         for f in df.schema.fields
     ]
     row_bytes = reduce(lambda a, b: a + b, widths, F.lit(16))
     total = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= max_bytes else df
+    return total <= max_bytes
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The written table ``df``, marked for broadcast if its measured size allows it.
+
+    Without the mark, Spark joins by shuffle and its adaptive skew handling splits hot keys.
+    """
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
