@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commsim.llm import pii, secrets
+from commsim.llm import pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": simhash.op4_simhash,
         "op8_pii": pii.op8_pii,
         "op10_secrets": secrets.op10_secrets,
     }
