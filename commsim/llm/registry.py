@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commsim.llm import pii, secrets, simhash
+from commsim.llm import embeddings, pii, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_embeddings": embeddings.op2_embeddings,
         "op4_simhash": simhash.op4_simhash,
         "op8_pii": pii.op8_pii,
         "op10_secrets": secrets.op10_secrets,
