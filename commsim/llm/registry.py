@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commsim.llm import embeddings, pii, secrets, simhash, toxicity
+from commsim.llm import embeddings, pii, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_embeddings": embeddings.op2_embeddings,
         "op4_simhash": simhash.op4_simhash,
         "op8_pii": pii.op8_pii,
+        "op9_substrings": substrings.op9_substrings,
         "op10_secrets": secrets.op10_secrets,
     }
 
