@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commsim.llm import embeddings, pii, secrets, simhash, substrings, toxicity
+from commsim.llm import decontamination, embeddings, mixing, pii, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_embeddings": embeddings.op2_embeddings,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_simhash": simhash.op4_simhash,
+        "op5_mixing": mixing.op5_mixing,
         "op8_pii": pii.op8_pii,
         "op9_substrings": substrings.op9_substrings,
         "op10_secrets": secrets.op10_secrets,
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.ORACLE}
