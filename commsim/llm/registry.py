@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commsim.llm import decontamination, embeddings, html, mixing, pii, secrets, simhash, substrings, toxicity
+from commsim.llm import decontamination, embeddings, html, katz, mixing, pii, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": simhash.op4_simhash,
         "op5_mixing": mixing.op5_mixing,
         "op6_html": html.op6_html,
+        "op7_katz": katz.op7_katz,
         "op8_pii": pii.op8_pii,
         "op9_substrings": substrings.op9_substrings,
         "op10_secrets": secrets.op10_secrets,
