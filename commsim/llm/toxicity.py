@@ -235,7 +235,8 @@ def _count_features(model: np.ndarray):
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 counts[int(toxic)].update({f for w in restore(text or "", model) for f in features(w)})
         names = list(set(counts[0]) | set(counts[1]))
-        yield pd.DataFrame({"feature": names, "clean": [counts[0][f] for f in names], "toxic": [counts[1][f] for f in names]})
+        if names:
+            yield pd.DataFrame({"feature": names, "clean": [counts[0][f] for f in names], "toxic": [counts[1][f] for f in names]})
 
     return run
 
