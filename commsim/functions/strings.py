@@ -43,24 +43,3 @@ def substrings(text: Column, min_length: int = 1) -> Column:
 
     starts = F.sequence(F.lit(0), F.length(text) - min_length)
     return F.when(F.length(text) >= min_length, F.flatten(F.transform(starts, from_start)))
-
-
-def common_substring(first: Column, second: Column) -> Column:
-    """Longest substring of ``second`` that occurs in ``first`` at the same or a later offset.
-
-    Ties go to the smallest shift between the offsets, then to the smallest offset in ``second``. The
-    two arguments are not interchangeable. Work per row grows with the square of ``len(second)``.
-    """
-
-    def candidate(part: Column) -> Column:
-        start, sub = part["start"], part["sub"]
-        found = F.position(sub, first, start + 1)
-        return F.struct(
-            F.when(found > 0, F.length(sub)).alias("length"),
-            (start + 1 - found).alias("closeness"),
-            (-start).alias("earliness"),
-            sub.alias("sub"),
-        )
-
-    best = F.array_max(F.transform(substrings(second), candidate))
-    return F.coalesce(F.when(best["length"].isNotNull(), best["sub"]), F.lit(""))

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commsim.operators.filters import in_list
 from commsim.operators.index import DenseIndex
 from commsim.session import small
 
 
-def author_edges(posts: DataFrame, exclude_author: str | None = "[deleted]") -> DataFrame:
-    """Distinct (author, community) edges, without one author such as the marker for deleted accounts."""
+def author_edges(posts: DataFrame, exclude_author: str | None = "[deleted]", allowed: DataFrame | None = None) -> DataFrame:
+    """Distinct (author, community) edges, without one author such as the marker for deleted accounts.
+
+    ``allowed`` is a written list ``(name)`` of communities; posts elsewhere go before repeats are removed, so that the list
+    bounds every author's basket.
+    """
     edges = posts.select("author", "subreddit").where("author is not null and subreddit is not null")
+    if allowed is not None:
+        edges = in_list(edges, "subreddit", allowed)
     if exclude_author is not None:
         edges = edges.where(F.col("author") != F.lit(exclude_author))
     return edges.distinct()
 
 
 def author_baskets(edges: DataFrame) -> DataFrame:
-    """The sorted communities of each author, at most as many as there are communities."""
+    """The sorted communities of each author; the allow-list of :func:`author_edges` bounds their number."""
     return edges.groupBy("author").agg(F.sort_array(F.collect_list("subreddit")).alias("communities"))
 
 

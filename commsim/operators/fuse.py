@@ -30,8 +30,9 @@ def one_per_pair(scores: DataFrame, *values: str, order: str = "ord", keep: str
 def fuse(communities: DenseIndex, text: DataFrame, user: DataFrame, meta: DataFrame) -> DataFrame:
     """Weighted scores and their total for every pair of listed communities; absent scores count 0.
 
-    ``text`` has ``s1, s2, ngram, user``, the others ``s1, s2, score``; each has an ``ord`` for its
-    entries. Of several entries for a pair, text takes the first, user and metadata the last.
+    For score files, which name a pair in either orientation and repeat it: ``text`` has ``s1, s2, ngram, user``, the
+    others ``s1, s2, score``; each has an ``ord`` for its entries. Of several entries for a pair, text takes the
+    first, user and metadata the last.
     """
     keys = ["a", "b"]
     spine = pair_spine(communities).withColumn("a", F.least("s1", "s2")).withColumn("b", F.greatest("s1", "s2"))
@@ -39,9 +40,15 @@ def fuse(communities: DenseIndex, text: DataFrame, user: DataFrame, meta: DataFr
         spine.join(one_per_pair(text, "ngram", "user", keep="first"), keys, "left")
         .join(one_per_pair(user.withColumnRenamed("score", "user_score"), "user_score"), keys, "left")
         .join(one_per_pair(meta.withColumnRenamed("score", "meta_score"), "meta_score"), keys, "left")
-        .na.fill(0.0, ["ngram", "user", "user_score", "meta_score"])
     )
-    weighted = joined.select(
+    return weigh(joined).drop("i", "j")
+
+
+def weigh(scores: DataFrame) -> DataFrame:
+    """The weighted scores and their total of rows with ``i, j, s1, s2, ngram, user, user_score, meta_score``; nulls count 0."""
+    weighted = scores.na.fill(0.0, ["ngram", "user", "user_score", "meta_score"]).select(
+        "i",
+        "j",
         "s1",
         "s2",
         (F.col("ngram") * NGRAM_WEIGHT + F.col("user") * AUTHOR_JACCARD_WEIGHT).alias("text"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,16 +92,11 @@ def community_vectors(parts: DataFrame, size: int, block: int = 4096, community:
     return grouped.select(community, "block", F.lit(size).cast("long").alias("size"), "indices")
 
 
-@F.udf(VectorUDT())
-def _ones(size, indices):
-    return SparseVector(size, indices, [1.0] * len(indices))
+def dense_blocks(vectors: DataFrame, size: int, block: int = 4096, community: str = "subreddit") -> DataFrame:
+    """The blocks of :func:`community_vectors` as sparse vectors of their own: ``(community, block, length, local)``.
 
-
-def as_ml_vectors(vectors: DataFrame, size: int, block: int = 4096, community: str = "subreddit") -> DataFrame:
-    """The blocks of :func:`community_vectors` as ``pyspark.ml`` sparse vectors of at most ``block`` dimensions."""
+    ``local`` counts from the block's first dimension, as a library for sparse vectors wants it.
+    """
     base = F.col("block") * block
     length = F.least(F.lit(block), F.lit(size) - base).cast("int")
-    local = F.transform("indices", lambda i: (i - base).cast("int"))
-    return vectors.select(community, "block", _ones(length, local).alias("vector"))
-
-
+    return vectors.select(community, "block", length.alias("length"), F.transform("indices", lambda i: (i - base).cast("int")).alias("local"))

@@ -1,17 +1,22 @@
-"""Community metadata: mentions, moderators, their assembly, and the three directed similarities."""
+"""Community metadata: mentions, moderators, their assembly, and the three directed similarities.
+
+Moderators, mentions and affixes are edges ``(name, value)``. The similarities are equi-joins of edges that give a row for each
+pair with a score above 0, keyed by the ordinals ``(i, j)`` of target and other in the list of names; they
+are joined to the requested pairs at the end. ``|``-joined lists exist for the metadata file only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commsim.functions import strings as fn
 from commsim.operators.index import DenseIndex
-from commsim.operators.pairs import directed_pairs
-from commsim.session import small
+from commsim.operators.names import common_of, name_substrings
+from commsim.operators.pairs import directed_pairs, with_ordinals
+from commsim.session import materialize, small
 
 MIN_SHARED_AFFIX = 4
-LISTS = ("affixes", "mods", "mentions")
 
 # Shares of the three measures in the metadata score.
 AFFIX_WEIGHT = 0.3
@@ -27,10 +32,10 @@ def mentions(texts: DataFrame, name: str = "name", text: str = "text") -> DataFr
 
 
 def joined_lists(rows: DataFrame, name: str, value: str, joined: str) -> DataFrame:
-    """``(name, joined)``: the distinct values of each name, sorted and ``|``-joined.
+    """``(name, joined)``: the distinct values of each name, sorted and ``|``-joined, for the metadata file.
 
-    For lists that one row can hold, such as moderators or mentioned communities; repeats are removed
-    before anything is collected.
+    One line of the file holds a whole list, so this is for lists that one line can hold; repeats are
+    removed before anything is collected.
     """
     distinct = rows.select(name, value).where(F.col(value).isNotNull()).distinct()
     return distinct.groupBy(name).agg(F.array_join(F.sort_array(F.collect_list(value)), "|").alias(joined))
@@ -44,89 +49,102 @@ def assemble(names: DataFrame, affixes: DataFrame, mods: DataFrame, mentioned: D
     return joined.select("name", "affixes", "mods", "mentions").na.fill("")
 
 
-def first_rows(metadata: DataFrame, names: DenseIndex, count: int) -> DataFrame:
-    """The metadata of the first ``count`` listed names."""
-    head = names.frame.where(F.col("ord") < count).select(F.col("community").alias("name"))
-    return metadata.join(names.bounded(head), "name", "left_semi")
-
-
-def metadata_pairs(metadata: DataFrame, names: DenseIndex) -> DataFrame:
-    """Each ordered pair of listed names with the metadata of ``target`` and of ``other``.
-
-    ``metadata`` is a written table with one row per name.
-    """
-    known = small(metadata)
-    target, other = (
-        known.select(F.col("name").alias(pair), *[F.col(c).alias(f"{side}_{c}") for c in LISTS])
-        for side, pair in (("target", "s1"), ("other", "s2"))
-    )
-    return directed_pairs(names).join(target, "s1").join(other, "s2")
-
+def list_edges(metadata: DataFrame, joined: str, value: str) -> DataFrame:
+    """``(name, value)`` edges of one list of metadata rows as the file holds them; an empty list has none."""
+    parts = metadata.select("name", F.explode(fn.split_list(F.col(joined))).alias(value))
+    return parts.where(F.col(value) != "").distinct()
 
-def with_affix_score(pairs: DataFrame, words: DataFrame, any_affix: bool = False) -> DataFrame:
-    """Adds ``affix``: 1 if the other name contains the target's last affix, .5 if the names' common
-    substring is a word, else 0. With ``any_affix`` every affix of the target counts.
 
-    ``words`` is a written one-column table ``word`` of distinct words.
-    """
+def first_rows(metadata: DataFrame, count: int, place: str = "place") -> DataFrame:
+    """The first ``count`` rows in file order, which the column ``place`` carries from 0 on."""
+    return metadata.where(F.col(place) < count).drop(place)
 
-    def shared(affix: Column) -> Column:
-        return F.contains(F.col("s2"), affix) & (F.length(affix) >= MIN_SHARED_AFFIX)
 
-    affixes = fn.split_list(F.col("target_affixes"))
-    hit = F.exists(affixes, shared) if any_affix else shared(F.element_at(affixes, -1))
-    checked = pairs.withColumn("hit", hit)
-    checked = checked.withColumn("word", F.when(~F.col("hit"), fn.common_substring(F.col("s2"), F.col("s1"))))
-    known = small(words.select("word").withColumn("known", F.lit(True)))
-    joined = checked.join(known, "word", "left")
-    score = F.when(F.col("hit"), 1.0).when(F.col("known"), 0.5).otherwise(0.0)
-    return joined.withColumn("affix", score).drop("hit", "word", "known")
+def _whole_lists(edges: DataFrame, names: DenseIndex, value: str) -> DataFrame:
+    """``(ord, value, n)`` of every listed name's values; a name without any has the empty value, as an empty list in the file."""
+    named = with_ordinals(edges.select("name", value).where(F.col(value).isNotNull()).distinct(), names, "name")
+    held = names.frame.select("ord").join(named.select("ord", value), "ord", "left").na.fill("", [value])
+    held = materialize(held, "lists")
+    return held.join(held.groupBy("ord").agg(F.count("*").alias("n")), "ord")
 
 
-def moderator_score(set_overlap: bool = False) -> Column:
-    """Share of the target's moderators that equal the other's whole moderator string; with
+def moderator_scores(mods: DataFrame, names: DenseIndex, set_overlap: bool = False) -> DataFrame:
+    """``(i, j, moderator)``: the share of the target's moderators that equal the other's whole list; with
     ``set_overlap``, that are among the other's moderators."""
-    mods = fn.split_list(F.col("target_mods"))
-    if set_overlap:
-        mods = F.array_distinct(mods)
-        matching = F.array_intersect(mods, fn.split_list(F.col("other_mods")))
-    else:
-        matching = F.filter(mods, lambda m: m == F.col("other_mods"))
-    return F.size(matching) / F.size(mods)
+    held = materialize(_whole_lists(mods, names, "mod"), "mods")
+    target = held.select(F.col("ord").alias("i"), "mod", "n")
+    other = held if set_overlap else held.where("n = 1")
+    shared = target.join(other.select(F.col("ord").alias("j"), "mod"), "mod").where("i <> j")
+    return shared.groupBy("i", "j").agg((F.count("*") / F.first("n")).alias("moderator"))
 
 
-def mention_score(co_mention: bool = False) -> Column:
-    """1 if the target mentions the other's name in any case.
+def mention_scores(mentioned: DataFrame, names: DenseIndex, co_mention: bool = False) -> DataFrame:
+    """``(i, j, mention)``: 1 if the target mentions the other's name in any case.
 
-    By default a one-character mention that occurs in the other's mention string counts .5, and the last
-    matching mention decides. With ``co_mention``, a common mention counts .5 if there is no direct one.
+    By default a one-character mention that occurs in the other's mentions counts .5, and the last matching
+    mention decides. With ``co_mention``, a common mention counts .5 if there is no direct one.
     """
-    mentioned = F.transform(fn.split_list(F.col("target_mentions")), F.lower)
-    name, theirs = F.lower("s2"), F.lower("other_mentions")
+    edges = with_ordinals(mentioned.where("mention IS NOT NULL AND mention <> ''"), names, "name")
+    edges = materialize(edges.select("ord", "mention", F.lower("mention").alias("low")).distinct(), "mentions")
+    target = edges.select(F.col("ord").alias("i"), "mention", "low")
+    named = names.frame.select(F.col("ord").alias("j"), F.lower("community").alias("low"))
+    direct = target.join(named, "low").select("i", "j", "mention", F.lit(1.0).alias("score"))
     if co_mention:
-        common = F.arrays_overlap(F.array_remove(mentioned, ""), F.array_remove(fn.split_list(theirs), ""))
-        return F.when(F.array_contains(mentioned, name), 1.0).when(common, 0.5).otherwise(0.0)
+        others = edges.select(F.col("ord").alias("j"), "low").distinct()
+        weak = target.select("i", "low").distinct().join(others, "low").select("i", "j", F.lit("").alias("mention"), F.lit(0.5).alias("score"))
+        return direct.unionByName(weak).where("i <> j").groupBy("i", "j").agg(F.max("score").alias("mention"))
+    signs = edges.select(F.col("ord").alias("j"), F.explode(F.array_distinct(F.split("low", ""))).alias("low")).distinct()
+    single = target.where(F.length("low") == 1).join(signs, "low").select("i", "j", "mention", F.lit(0.5).alias("score"))
+    last = F.max_by("score", F.struct("mention", "score"))
+    return direct.unionByName(single).where("i <> j").groupBy("i", "j").agg(last.alias("mention"))
 
-    def latest(score: Column, mention: Column) -> Column:
-        single = (F.length(mention) == 1) & F.contains(theirs, mention)
-        return F.when(mention == name, 1.0).when(single, 0.5).otherwise(score)
 
-    return F.aggregate(mentioned, F.lit(0.0), latest)
+def affix_scores(affixes: DataFrame, names: DenseIndex, words: DataFrame, any_affix: bool = False) -> DataFrame:
+    """``(i, j, affix)``: 1 if the other name contains the target's last affix, .5 if the names' common substring is a word.
+
+    With ``any_affix`` every affix of the target counts. ``affixes`` are edges ``(name, affix)``, ``words`` is a
+    written one-column table ``word`` of distinct words.
+    """
+    own = with_ordinals(affixes.select("name", "affix"), names, "name").select(F.col("ord").alias("i"), F.col("affix").alias("sub"))
+    deciding = own.distinct() if any_affix else own.groupBy("i").agg(F.max("sub").alias("sub"))
+    parts = materialize(name_substrings(names.frame, F.col("community"), "ord"), "substrings")
+    long = parts.where(F.length("sub") >= MIN_SHARED_AFFIX).select(F.col("ord").alias("j"), "sub").distinct()
+    hits = deciding.join(long, "sub").where("i <> j").select("i", "j").distinct().withColumn("score", F.lit(1.0))
+    # Only pairs that share a word at all can have a word as their longest common substring.
+    worded = materialize(parts.join(small(words.select(F.col("word").alias("sub"))), "sub").select("ord", "sub").distinct(), "worded")
+    sharing = worded.select(F.col("ord").alias("j"), "sub").join(worded.select(F.col("ord").alias("i"), "sub"), "sub")
+    candidates = materialize(sharing.where("i <> j").select("i", "j").distinct(), "candidates")
+    common = common_of(parts, candidates)
+    known = common.join(small(words.select(F.col("word").alias("lcs"))), "lcs").select("i", "j", F.lit(0.5).alias("score"))
+    return hits.unionByName(known).groupBy("i", "j").agg(F.max("score").alias("affix"))
+
+
+def on_pairs(names: DenseIndex, *scores: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """The requested ordered pairs ``(i, j, s1, s2)``, all of the list by default, with the sparse scores; absent ones are 0."""
+    out = directed_pairs(names) if pairs is None else pairs
+    for score in scores:
+        out = out.join(score, ["i", "j"], "left")
+    return out.na.fill(0.0)
 
 
 def meta_scores(
-    metadata: DataFrame,
+    affixes: DataFrame,
+    mods: DataFrame,
+    mentioned: DataFrame,
     names: DenseIndex,
     words: DataFrame,
     any_affix: bool = False,
     set_overlap: bool = False,
     co_mention: bool = False,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Directed score of each ordered pair: ``(i, j, s1, s2, affix, mention, moderator, score)``."""
-    scored = (
-        with_affix_score(metadata_pairs(metadata, names), words, any_affix)
-        .withColumn("mention", mention_score(co_mention))
-        .withColumn("moderator", moderator_score(set_overlap))
+    """Directed score of each requested pair: ``(i, j, s1, s2, affix, mention, moderator, score)``."""
+    scored = on_pairs(
+        names,
+        affix_scores(affixes, names, words, any_affix),
+        mention_scores(mentioned, names, co_mention),
+        moderator_scores(mods, names, set_overlap),
+        pairs=pairs,
     )
     total = F.col("affix") * AFFIX_WEIGHT + F.col("mention") * MENTION_WEIGHT + F.col("moderator") * MODERATOR_WEIGHT
     return scored.select("i", "j", "s1", "s2", "affix", "mention", "moderator", total.alias("score"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commsim.functions.strings import common_substring, substrings
+from commsim.functions.strings import substrings
 from commsim.operators.index import DenseIndex
 from commsim.operators.pairs import TILE, community_index, directed_pairs, tile, tile_mask
 from commsim.session import materialize, small
@@ -25,16 +25,44 @@ def name_substrings(names: DataFrame, name: Column, *keys: str, min_length: int
     return parts.where(F.col("part").isNotNull()).select(*keys, "part.start", "part.sub")
 
 
+def common_of(parts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``(i, j, lcs)``: the longest common substring of names ``i`` and ``j`` by :func:`name_substrings` keyed by ``ord``.
+
+    A substring of name ``i`` counts if it stands in name ``j`` at the same or a later offset. Ties go to the
+    smallest shift, then to the smallest offset in ``i``. ``pairs`` limits the pairs; pairs without one have no row.
+    """
+    second = parts.select(F.col("ord").alias("i"), "start", "sub")
+    if pairs is None:
+        matches = second.join(parts.select(F.col("ord").alias("j"), F.col("start").alias("at"), "sub"), "sub").where("i <> j")
+    else:
+        first = pairs.join(parts.select(F.col("ord").alias("j"), F.col("start").alias("at"), "sub"), "j")
+        matches = first.join(second, ["i", "sub"])
+    best = F.struct(F.length("sub"), F.col("start") - F.col("at"), -F.col("start"))
+    return matches.where("at >= start").groupBy("i", "j").agg(F.max_by("sub", best).alias("lcs"))
+
+
 def name_lcs(names: DenseIndex) -> DataFrame:
     """The longest common substring of each ordered pair of listed names: ``(s1, s2, lcs)``."""
-    return directed_pairs(names).select("s1", "s2", common_substring(F.col("s1"), F.col("s2")).alias("lcs"))
+    parts = materialize(name_substrings(names.frame, F.col("community"), "ord"), "substrings")
+    common = common_of(parts).select(F.col("j").alias("i"), F.col("i").alias("j"), "lcs")
+    return directed_pairs(names).join(common, ["i", "j"], "left").select("s1", "s2", F.coalesce("lcs", F.lit("")).alias("lcs"))
+
+
+def affix_edges(names: DataFrame, affixes: DataFrame, name: str = "name", ignore_case: bool = False) -> DataFrame:
+    """Distinct ``(name, affix)`` of the affixes a name contains.
+
+    ``affixes`` is a written one-column table ``affix``. Names meet affixes by equality on their substrings.
+    """
+    text = F.lower(name) if ignore_case else F.col(name)
+    listed = affixes.select((F.lower("affix") if ignore_case else F.col("affix")).alias("sub"), "affix")
+    parts = name_substrings(names.select(name).distinct(), text, name).select(name, "sub").distinct()
+    return parts.join(small(listed), "sub").select(name, "affix").distinct()
 
 
 def lcs_counts(names: DenseIndex, name: Column, min_length: int = MIN_AFFIX) -> DataFrame:
     """How many ordered pairs of different names have ``lcs`` as their longest common substring.
 
-    Counts strings of at least ``min_length``; see :func:`commsim.functions.strings.common_substring`
-    for the offset rule and ties, and for which of the two names is the second.
+    Counts strings of at least ``min_length``; see :func:`common_of` for the offset rule and ties.
     """
     parts = materialize(name_substrings(names.frame, name, "ord", min_length=min_length), "substrings")
     holders = parts.groupBy("sub", F.col("start").alias("at"), tile(F.col("ord")).alias("tile")).agg(
@@ -68,14 +96,8 @@ def mine_affixes(names: DataFrame, name: str = "name", support: int = 0) -> Data
 
 
 def tag_affixes(names: DataFrame, affixes: DataFrame, name: str = "name", ignore_case: bool = False) -> DataFrame:
-    """``(name, affixes)``: the affixes a name contains, sorted and ``|``-joined, empty if none.
-
-    ``affixes`` is a written one-column table ``affix``. Names meet affixes by equality on their substrings.
-    """
+    """``(name, affixes)``: the affixes of :func:`affix_edges`, sorted and ``|``-joined, empty if none."""
     distinct = names.select(name).distinct()
-    text = F.lower(name) if ignore_case else F.col(name)
-    listed = affixes.select((F.lower("affix") if ignore_case else F.col("affix")).alias("sub"), "affix")
-    parts = name_substrings(distinct, text, name).select(name, "sub").distinct()
-    found = parts.join(small(listed), "sub").select(name, "affix").distinct()
+    found = affix_edges(distinct, affixes, name, ignore_case)
     joined = found.groupBy(name).agg(F.array_join(F.sort_array(F.collect_list("affix")), "|").alias("affixes"))
     return distinct.join(joined, name, "left").na.fill("", ["affixes"])

@@ -1,6 +1,7 @@
 """Pairs of communities: spines, overlap counts, Jaccard and set operations.
 
-Every report here has one row per pair of the *listed* communities, so the list bounds its size.
+A report over a given list has one row per pair of the *listed* communities, so the list bounds its size; without
+a list, :func:`sharing_jaccard` reports the pairs that share something.
 Overlaps are counted for all pairs in one job. Communities get dense ordinals, 64 of which share a tile,
 and every feature is reduced to one 64-bit mask per tile. A feature with any number of rows is thereby at
 most one small row per tile after map-side combining. Features with equal masks then merge into one
@@ -130,20 +131,35 @@ def _own_counts(counts: DataFrame, communities: DenseIndex, ordinal: str, n: str
 
 
 def jaccard(counts: DataFrame, communities: DenseIndex) -> DataFrame:
-    """Jaccard of every pair of listed communities, including pairs that share nothing.
+    """Jaccard of every pair of a given list, including pairs that share nothing: ``(i, j, s1, s2, n1, n2, common, jaccard)``.
 
     ``counts`` comes from :func:`pair_overlaps`. Two communities without features have no score.
     """
-    joined = (
-        pair_spine(communities)
-        .join(counts.where("i < j"), ["i", "j"], "left")
+    joined = _with_sizes(pair_spine(communities).join(counts.where("i < j"), ["i", "j"], "left"), counts, communities)
+    return _jaccard_of(joined)
+
+
+def sharing_jaccard(counts: DataFrame, communities: DenseIndex) -> DataFrame:
+    """Like :func:`jaccard` for the pairs that share something, which bounds the rows when no list is given."""
+    named = counts.where("i < j")
+    for ordinal, name in (("i", "s1"), ("j", "s2")):
+        named = named.join(communities.bounded(communities.frame.select(F.col("ord").alias(ordinal), F.col("community").alias(name))), ordinal)
+    return _jaccard_of(_with_sizes(named, counts, communities))
+
+
+def _with_sizes(pairs: DataFrame, counts: DataFrame, communities: DenseIndex) -> DataFrame:
+    return (
+        pairs
         .join(_own_counts(counts, communities, "i", "n1"), "i", "left")
         .join(_own_counts(counts, communities, "j", "n2"), "j", "left")
         .na.fill(0, ["common", "n1", "n2"])
     )
+
+
+def _jaccard_of(joined: DataFrame) -> DataFrame:
     union = F.col("n1") + F.col("n2") - F.col("common")
     return joined.select(
-        "s1", "s2", "n1", "n2", "common", F.when(union > 0, F.col("common") / union).alias("jaccard")
+        "i", "j", "s1", "s2", "n1", "n2", "common", F.when(union > 0, F.col("common") / union).alias("jaccard")
     )
 
 

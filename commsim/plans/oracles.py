@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from commsim.plans.queries import (
+    ALLOWED_BRANDS,
     FIRST_PAGES,
     FIRST_ROWS,
     ITEM_SUPPORT,
     JOINED_SOURCES,
+    LISTED_BRANDS,
+    LISTED_SOURCES,
     ONE_SOURCE,
+    PAIR_SUPPORT,
     TEN_SOURCES,
     VECTOR_BLOCK,
 )
@@ -48,19 +52,23 @@ COMPONENTS = """parts AS (SELECT e.subreddit, i."index" FROM edges e JOIN ids i
 
 # Authors
 
-POST_AUTHORS = """post_authors AS (
-    SELECT event_id AS doc_id, CASE WHEN event_type = 'error' THEN '[deleted]' ELSE CAST(user_id AS VARCHAR) END AS author,
-           event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS link
-    FROM events)"""
-POSTS = """posts AS (
-    SELECT d.source AS subreddit, d.text AS title, a.author FROM documents d JOIN post_authors a ON d.doc_id = a.doc_id)"""
+EVENT_POSTS = """event_posts AS (
+    SELECT d.doc_id, d.source AS subreddit, event_type, props, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS link,
+           CASE WHEN event_type = 'error' THEN '[deleted]' ELSE CAST(user_id AS VARCHAR) END AS author
+    FROM events JOIN documents d ON d.doc_id = event_id % (SELECT count(*) FROM documents))"""
+POSTS = "posts AS (SELECT subreddit, props AS title, author FROM event_posts)"
 PURCHASES = """purchases AS (
     SELECT p_brand AS subreddit,
            CASE WHEN o_orderpriority = '5-LOW' THEN '[deleted]' ELSE CAST(o_custkey AS VARCHAR) END AS author
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 BASKET_EDGES = "basket_edges AS (SELECT DISTINCT author, subreddit FROM purchases WHERE author <> '[deleted]')"
-ITEMS = f"""items AS (
-    SELECT subreddit AS item, count(*) AS freq FROM basket_edges GROUP BY 1 HAVING count(*) >= {ITEM_SUPPORT})"""
+ALLOWED_EDGES = f"allowed_edges AS (SELECT * FROM basket_edges WHERE subreddit IN ({_quoted(ALLOWED_BRANDS)}))"
+SUPPLIES = """supplies AS (
+    SELECT CAST(l_suppkey AS VARCHAR) AS subreddit, CAST(o_custkey AS VARCHAR) AS author
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+def _items(edges: str) -> str:
+    return f"""items AS (
+    SELECT subreddit AS item, count(*) AS freq FROM {edges} GROUP BY 1 HAVING count(*) >= {ITEM_SUPPORT})"""
 
 
 def _baskets(edges: str) -> str:
@@ -81,13 +89,21 @@ def _pair_counts(name: str, edges: str, feature: str) -> tuple[str, ...]:
     )
 
 
-def _jaccard(name: str) -> str:
-    """Jaccard over the CTEs of :func:`_pair_counts`, for all pairs."""
+def _jaccard(name: str, ords: str = "ords") -> str:
+    """Jaccard over the CTEs of :func:`_pair_counts`, for all pairs of the list ``ords(s, o)`` in its order."""
     return f"""
         SELECT x.s AS s1, y.s AS s2, x.n AS n1, y.n AS n2, coalesce(c.common, 0) AS common,
                coalesce(c.common, 0) / CAST(x.n + y.n - coalesce(c.common, 0) AS DOUBLE) AS jaccard
-        FROM {name}_sizes x JOIN {name}_sizes y ON x.s < y.s
-        LEFT JOIN {name}_common c ON c.s1 = x.s AND c.s2 = y.s"""
+        FROM {name}_sizes x JOIN {ords} ox ON ox.s = x.s JOIN {ords} oy ON ox.o < oy.o JOIN {name}_sizes y ON y.s = oy.s
+        LEFT JOIN {name}_common c ON c.s1 = least(x.s, y.s) AND c.s2 = greatest(x.s, y.s)"""
+
+
+def _listed(names: list[str], present: str) -> str:
+    """CTE ``ords(s, o)``: the places of a given list, without names absent from ``present(s)``."""
+    values = ", ".join(f"('{n}', {i})" for i, n in enumerate(names))
+    return f"""ords AS (
+        SELECT s, row_number() OVER (ORDER BY place) - 1 AS o FROM (VALUES {values}) AS listed(s, place)
+        WHERE s IN (SELECT s FROM ({present})))"""
 
 
 def _user_pairs(name: str) -> str:
@@ -97,7 +113,8 @@ def _user_pairs(name: str) -> str:
 
 
 BASKET_PAIRS = (PURCHASES, BASKET_EDGES, *_pair_counts("basket", "basket_edges", "author"), _user_pairs("user_pairs"))
-SOURCE_ORDS = "ords AS (SELECT source AS s, row_number() OVER (ORDER BY source) - 1 AS o FROM (SELECT DISTINCT source FROM documents))"
+SOURCE_ORDS = _listed(LISTED_SOURCES, "SELECT source AS s FROM documents")
+BRAND_ORDS = _listed(LISTED_BRANDS, "SELECT p_brand AS s FROM part")
 
 # Names
 
@@ -162,19 +179,12 @@ NATIONS = """nations AS (
     SELECT n_nationkey AS key, lower(replace(r_name, ' ', '_') || '_' || n_name) AS name
     FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 NATION_MODS = """nation_mods AS (
-    SELECT n.name, c.c_mktsegment AS mod FROM nations n JOIN (
-        SELECT c_nationkey, c_mktsegment,
-               row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey DESC) AS rich,
-               row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS poor
-        FROM customer) c ON c.c_nationkey = n.key WHERE c.rich = 1 OR c.poor = 1)"""
+    SELECT DISTINCT n.name, c.c_mktsegment || '_' || CAST(CAST(floor(c.c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS mod
+    FROM nations n JOIN customer c ON c.c_nationkey = n.key)"""
 NATION_MENTIONS = """nation_mentions AS (
-    SELECT n.name, m.name AS mention FROM (
-        SELECT c_nationkey, l_suppkey, row_number() OVER (
-            PARTITION BY c_nationkey, l_returnflag, l_linestatus
-            ORDER BY l_extendedprice DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS place
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) t
-    JOIN supplier s ON t.l_suppkey = s.s_suppkey JOIN nations m ON s.s_nationkey = m.key
-    JOIN nations n ON t.c_nationkey = n.key WHERE t.place = 1)"""
+    SELECT DISTINCT n.name, m.name AS mention
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN supplier ON l_suppkey = s_suppkey JOIN nations m ON s_nationkey = m.key JOIN nations n ON c_nationkey = n.key)"""
 NATION_LISTS = (
     NATIONS,
     NATION_MODS,
@@ -224,18 +234,9 @@ META_TOTAL = "affix * 0.3e0 + mention * 0.6e0 + moderator * 0.1e0"
 SOURCES = "sources AS (SELECT DISTINCT source AS name FROM documents)"
 SOURCE_METADATA = (
     SOURCES,
-    """source_mods AS (
-        SELECT name, event_type AS mod FROM (
-            SELECT d.source AS name, a.event_type,
-                   row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id DESC) AS longest,
-                   row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars, d.doc_id) AS shortest
-            FROM documents d JOIN post_authors a ON d.doc_id = a.doc_id) WHERE longest = 1 OR shortest = 1)""",
+    "source_mods AS (SELECT DISTINCT subreddit AS name, event_type AS mod FROM event_posts)",
     """source_mentions AS (
-        SELECT x.name, d.source AS mention FROM (
-            SELECT d.source AS name, a.link,
-                   row_number() OVER (PARTITION BY d.source, d.lang ORDER BY d.n_chars DESC, d.doc_id DESC) AS longest
-            FROM documents d JOIN post_authors a ON d.doc_id = a.doc_id) x
-        JOIN documents d ON d.doc_id = x.link WHERE x.longest = 1)""",
+        SELECT DISTINCT e.subreddit AS name, d.source AS mention FROM event_posts e JOIN documents d ON d.doc_id = e.link)""",
     _lists("mod_lists", "source_mods", "mod", "mods"),
     _lists("mention_lists", "source_mentions", "mention", "mentions"),
     *_mined("mined", "sources"),
@@ -273,7 +274,7 @@ FUSED = f"""
                coalesce(u.freq / sqrt(CAST(u.n1 AS DOUBLE) * u.n2), 0) * 0.3e0 AS usr,
                coalesce(m.score, 0) * 0.1e0 AS meta
         FROM ({_jaccard('gram')}) g LEFT JOIN ({_jaccard('author')}) a ON a.s1 = g.s1 AND a.s2 = g.s2
-        LEFT JOIN user_pairs u ON u.s1 = g.s1 AND u.s2 = g.s2
+        LEFT JOIN user_pairs u ON u.s1 = least(g.s1, g.s2) AND u.s2 = greatest(g.s1, g.s2)
         LEFT JOIN (SELECT s1, s2, {META_TOTAL} AS score FROM meta) m ON m.s1 = g.s2 AND m.s2 = g.s1) p"""
 
 
@@ -286,7 +287,7 @@ def oracle_sql() -> dict[str, str]:
     rounded = "SELECT s1, s2, n1, n2, common, round(jaccard, 6) AS jaccard FROM"
     turn_tokens = f"turn_tokens AS (SELECT {_tokens('text')} AS tokens FROM conversations)"
     turns = f"turns AS (SELECT unnest({_grams('tokens')}) AS ngram FROM turn_tokens)"
-    posts = (POST_AUTHORS, POSTS)
+    posts = (EVENT_POSTS, POSTS)
     gram_counts = _pair_counts("gram", "edges", "ngram")
     author_counts = _pair_counts("author", "posts", "author")
     return {
@@ -296,10 +297,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "components_roundtrip": _with(components, *TEXT, NGRAM_IDS, COMPONENTS),
         "basket_roundtrip": _with(
-            f"SELECT communities, count(*) AS authors FROM ({_baskets('basket_edges')}) GROUP BY communities", *baskets
+            f"SELECT communities, count(*) AS authors FROM ({_baskets('allowed_edges')}) GROUP BY communities", *baskets, ALLOWED_EDGES
         ),
         "meta_csv_roundtrip": _with(csv, *NATION_METADATA),
-        "meta_first_rows": _with(f"{csv} ORDER BY name LIMIT {FIRST_ROWS}", *NATION_METADATA),
+        "meta_first_rows": _with(f"SELECT m.* FROM metadata m JOIN nations n ON n.name = m.name WHERE n.key < {FIRST_ROWS}", *NATION_METADATA),
         "scores_roundtrip": _with(cosine, *BASKET_PAIRS),
         "filter_inlist": f"SELECT doc_id, source, n_chars FROM documents WHERE source IN ({_quoted(TEN_SOURCES)})",
         "filter_inset": f"SELECT doc_id, source, n_chars FROM documents WHERE source IN ({_quoted(JOINED_SOURCES.split(','))})",
@@ -347,24 +348,35 @@ def oracle_sql() -> dict[str, str]:
         ),
         "set_union": _with("SELECT ngram FROM edges UNION SELECT ngram FROM turns", *TEXT, turn_tokens, turns),
         "set_intersect": _with("SELECT ngram FROM edges INTERSECT SELECT ngram FROM turns", *TEXT, turn_tokens, turns),
-        "ngram_jaccard": _with(f"{rounded} ({_jaccard('gram')})", *TEXT, *gram_counts),
+        "ngram_jaccard": _with(f"{rounded} ({_jaccard('gram')})", *TEXT, *gram_counts, SOURCE_ORDS),
         "user_jaccard": _with(
-            f"{rounded} ({_jaccard('author')})", PURCHASES, *_pair_counts("author", "purchases", "author")
+            f"{rounded} ({_jaccard('author')})", PURCHASES, *_pair_counts("author", "purchases", "author"), BRAND_ORDS
         ),
+        "user_jaccard_sharing": _with(
+            """SELECT c.s1, c.s2, x.n AS n1, y.n AS n2, c.common, round(c.common / CAST(x.n + y.n - c.common AS DOUBLE), 6) AS jaccard
+            FROM author_common c JOIN author_sizes x ON x.s = c.s1 JOIN author_sizes y ON y.s = c.s2""",
+            SUPPLIES,
+            *_pair_counts("author", "supplies", "author"),
+        ),
+        "component_jaccard": _with(f"{rounded} ({_jaccard('gram')})", *TEXT, *gram_counts, SOURCE_ORDS),
         "text_scores": _with(
             f"""SELECT g.s1, g.s2, round(g.jaccard, 6) AS ngram, round(a.jaccard, 6) AS "user"
             FROM ({_jaccard('gram')}) g JOIN ({_jaccard('author')}) a ON a.s1 = g.s1 AND a.s2 = g.s2""",
+            SOURCE_ORDS,
             *TEXT,
             *posts,
             *gram_counts,
             *author_counts,
         ),
-        "author_baskets": _with(_baskets("basket_edges"), *baskets),
-        "frequent_items": _with("SELECT item, freq FROM items", *baskets, ITEMS),
+        "author_baskets": _with(_baskets("allowed_edges"), *baskets, ALLOWED_EDGES),
+        "frequent_items": _with("SELECT item, freq FROM items", *baskets, _items("basket_edges")),
         "basket_prune": _with(
-            _baskets("(SELECT * FROM basket_edges WHERE subreddit IN (SELECT item FROM items))"), *baskets, ITEMS
+            _baskets("(SELECT * FROM allowed_edges WHERE subreddit IN (SELECT item FROM items))"), *baskets, ALLOWED_EDGES, _items("allowed_edges")
         ),
         "pair_support": _with("SELECT s1, s2, freq FROM user_pairs", *BASKET_PAIRS),
+        "pair_support_threshold": _with(
+            f"SELECT s1, s2, freq FROM user_pairs WHERE freq >= {PAIR_SUPPORT} AND n1 >= {PAIR_SUPPORT} AND n2 >= {PAIR_SUPPORT}", *BASKET_PAIRS
+        ),
         "assoc_rules": _with(
             """SELECT s1 AS antecedent, s2 AS consequent, round(freq / CAST(n1 AS DOUBLE), 6) AS confidence, freq FROM user_pairs
             UNION ALL SELECT s2, s1, round(freq / CAST(n2 AS DOUBLE), 6), freq FROM user_pairs""",
@@ -415,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "fuse_scores": _with(
             f"""SELECT s1, s2, round(text, 6) AS text, round("user", 6) AS "user", round(meta, 6) AS meta, round(total, 6) AS total
             FROM ({FUSED})""",
+            SOURCE_ORDS,
             *TEXT,
             *posts,
             *gram_counts,

@@ -37,13 +37,22 @@ def posts_to_vectors(posts: DataFrame, communities: DenseIndex, block: int = 409
     return vectors.join(communities.bounded(named), "ord").select("subreddit", "block", "size", "indices")
 
 
-def text_scores(posts: DataFrame, communities: DenseIndex) -> DataFrame:
-    """2-gram and author Jaccard of every pair: ``(s1, s2, ngram, user)``."""
-    grams = pairs.jaccard(ngram_overlaps(posts, communities), communities)
-    authors = pairs.jaccard(author_overlaps(posts, communities), communities)
-    return grams.select("s1", "s2", F.col("jaccard").alias("ngram")).join(
-        authors.select("s1", "s2", F.col("jaccard").alias("user")), ["s1", "s2"]
-    )
+def text_scores(grams: DataFrame, authors: DataFrame, communities: DenseIndex) -> DataFrame:
+    """2-gram and author Jaccard of every listed pair, from their overlaps: ``(i, j, s1, s2, ngram, user)``."""
+    user = pairs.jaccard(authors, communities).select("i", "j", F.col("jaccard").alias("user"))
+    ngram = pairs.jaccard(grams, communities).select("i", "j", "s1", "s2", F.col("jaccard").alias("ngram"))
+    return ngram.join(user, ["i", "j"])
+
+
+def without_author(counts: DataFrame, posts: DataFrame, communities: DenseIndex, author: str) -> DataFrame:
+    """Author overlaps without one author: a pair loses one where the author is in both communities."""
+    own = pairs.with_ordinals(posts.where(F.col("author") == author).select("subreddit").distinct(), communities).select("ord")
+    own = materialize(own, "author")
+    first = own.select(F.col("ord").alias("i"), F.lit(1).alias("in_i"))
+    second = own.select(F.col("ord").alias("j"), F.lit(1).alias("in_j"))
+    joined = counts.join(first, "i", "left").join(second, "j", "left")
+    left = F.col("common") - F.coalesce(F.col("in_i") * F.col("in_j"), F.lit(0))
+    return joined.select("i", "j", left.alias("common")).where("common > 0")
 
 
 def user_pairs(posts: DataFrame, communities: DenseIndex, support: float = 0.0, exclude_author: str | None = "[deleted]") -> DataFrame:
@@ -56,12 +65,34 @@ def user_scores(posts: DataFrame, communities: DenseIndex, support: float = 0.0,
     return baskets.user_cosine(user_pairs(posts, communities, support, exclude_author))
 
 
-def fused_scores(posts: DataFrame, metadata: DataFrame, words: DataFrame, communities: DenseIndex) -> DataFrame:
-    """All signals of every pair of listed communities: ``(s1, s2, text, user, meta, total)``."""
-    once = F.lit(0)
-    return fuse.fuse(
-        communities,
-        text_scores(posts, communities).withColumn("ord", once),
-        user_scores(posts, communities).withColumn("ord", once),
-        meta.meta_scores(metadata, communities, words).select("s1", "s2", "score", F.struct("i", "j").alias("ord")),
-    )
+def fused_scores(
+    texts: DataFrame,
+    posts: DataFrame,
+    affixes: DataFrame,
+    mods: DataFrame,
+    mentioned: DataFrame,
+    words: DataFrame,
+    communities: DenseIndex,
+    deleted: str = "[deleted]",
+) -> DataFrame:
+    """All signals of every pair of listed communities: ``(s1, s2, text, user, meta, total)``.
+
+    Titles come from ``texts``, authors from ``posts``; both are read once. Of the two directed metadata scores of a
+    pair the later in list order counts, so only pairs whose target stands behind the other are scored.
+    """
+    authors = author_overlaps(posts, communities)
+    text = text_scores(ngram_overlaps(texts, communities), authors, communities)
+    counts = materialize(without_author(authors, posts, communities, deleted), "overlaps")
+    sizes = counts.where("i = j")
+    n1, n2 = (sizes.select(F.col("i").alias(o), F.col("common").alias(n)) for o, n in (("i", "n1"), ("j", "n2")))
+    product = (F.col("common") / F.col("n1")) * (F.col("common") / F.col("n2"))
+    user = counts.where("i < j").join(n1, "i").join(n2, "j").select("i", "j", F.sqrt(product).alias("user_score"))
+    affix = meta.affix_scores(affixes, communities, words)
+    mention, moderator = meta.mention_scores(mentioned, communities), meta.moderator_scores(mods, communities)
+    joined = text.join(user, ["i", "j"], "left")
+    for score in (affix, mention, moderator):
+        turned = score.where("i > j").select(F.col("j").alias("i"), F.col("i").alias("j"), score.columns[-1])
+        joined = joined.join(turned, ["i", "j"], "left")
+    joined = joined.na.fill(0.0, ["affix", "mention", "moderator"])
+    total = F.col("affix") * meta.AFFIX_WEIGHT + F.col("mention") * meta.MENTION_WEIGHT + F.col("moderator") * meta.MODERATOR_WEIGHT
+    return fuse.weigh(joined.withColumn("meta_score", total)).drop("i", "j")

@@ -21,7 +21,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 TEN_SOURCES = ["src0", "src1", "src2", "src3", "src5", "src8", "src13", "src17", "src18", "src19"]
 JOINED_SOURCES = "src0,src1,src2,src3,src4,src5,src6,src7,src8,src9,src10,src11,src12,src13,src14"
 ONE_SOURCE = "src0"
+LISTED_SOURCES = [f"src{7 * k % 20}" for k in range(20)]
+ALLOWED_BRANDS = [f"Brand#{k}" for k in range(1, 26) if k % 4]
+LISTED_BRANDS = [f"Brand#{k}" for k in range(25, 0, -1)]
 ITEM_SUPPORT = 1000
+PAIR_SUPPORT = 900
 FIRST_ROWS = 10
 FIRST_PAGES = 8
 VECTOR_BLOCK = 1024
@@ -73,23 +77,27 @@ def components_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def basket_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "baskets")
-    edges = baskets.author_edges(tables.purchases(spark, sf_dir))
+    edges = baskets.author_edges(tables.purchases(spark, sf_dir), allowed=_allowed_brands(spark, sf_dir))
     sources.write_baskets(baskets.author_baskets(edges), path)
     transactions = sources.read_baskets(spark, path).select(_joined("communities").alias("communities"))
     return transactions.groupBy("communities").agg(F.count("*").alias("authors"))
 
 
-@_query
-def meta_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _metadata_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "metadata")
     sources.write_metadata(tables.nation_metadata(spark, sf_dir), path)
-    return sources.read_metadata(spark, path)
+    return sources.read_metadata(spark, path, placed=True)
+
+
+@_query
+def meta_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metadata_file(spark, sf_dir).drop("place")
 
 
 @_query
 def meta_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metadata = meta_csv_roundtrip(spark, sf_dir)
-    return meta.first_rows(metadata, pairs.community_index(metadata, "name"), FIRST_ROWS)
+    """The first lines of the metadata file, whose order is that of the nations' keys."""
+    return meta.first_rows(_metadata_file(spark, sf_dir), FIRST_ROWS)
 
 
 @_query
@@ -242,12 +250,19 @@ def community_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def pair_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.pair_spine(pairs.community_index(tables.texts(spark, sf_dir)))
+    return pairs.pair_spine(tables.given_list(spark, _present_sources(spark, sf_dir)))
 
 
 @_query
 def directed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.directed_pairs(pairs.community_index(tables.texts(spark, sf_dir)))
+    return pairs.directed_pairs(tables.given_list(spark, _present_sources(spark, sf_dir)))
+
+
+def _present_sources(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The caller's list without the names that have no document; at most as long as the list."""
+    found = filters.in_values(tables.source_names(spark, sf_dir), "name", LISTED_SOURCES).collect()
+    present = {r.name for r in found}
+    return [name for name in LISTED_SOURCES if name in present]
 
 
 def _two_vocabularies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -265,26 +280,47 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.set_intersect(*_two_vocabularies(spark, sf_dir))
 
 
+JACCARD = ("s1", "s2", "n1", "n2", "common")
+
+
 @_query
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = tables.texts(spark, sf_dir)
-    communities = pairs.community_index(posts)
-    scores = pairs.jaccard(pipelines.ngram_overlaps(posts, communities), communities)
-    return scores.withColumn("jaccard", _round("jaccard"))
+    communities = tables.given_list(spark, _present_sources(spark, sf_dir))
+    scores = pairs.jaccard(pipelines.ngram_overlaps(tables.texts(spark, sf_dir), communities), communities)
+    return scores.select(*JACCARD, _round("jaccard").alias("jaccard"))
 
 
 @_query
 def user_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = tables.purchases(spark, sf_dir)
-    communities = pairs.community_index(_brands(spark, sf_dir))
-    scores = pairs.jaccard(pipelines.author_overlaps(posts, communities), communities)
-    return scores.withColumn("jaccard", _round("jaccard"))
+    communities = tables.given_list(spark, LISTED_BRANDS)
+    scores = pairs.jaccard(pipelines.author_overlaps(tables.purchases(spark, sf_dir), communities), communities)
+    return scores.select(*JACCARD, _round("jaccard").alias("jaccard"))
+
+
+@_query
+def user_jaccard_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a list: suppliers that share customers. Pairs that share nothing have no row."""
+    posts = tables.supplies(spark, sf_dir)
+    communities = pairs.community_index(posts)
+    scores = pairs.sharing_jaccard(pipelines.author_overlaps(posts, communities), communities)
+    return scores.select(*JACCARD, _round("jaccard").alias("jaccard"))
+
+
+@_query
+def component_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard from components that were saved and read again."""
+    communities = tables.given_list(spark, _present_sources(spark, sf_dir))
+    saved = components_roundtrip(spark, sf_dir)
+    scores = pairs.jaccard(pairs.pair_overlaps(saved, communities, "index"), communities)
+    return scores.select(*JACCARD, _round("jaccard").alias("jaccard"))
 
 
 @_query
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = tables.posts(spark, sf_dir)
-    scores = pipelines.text_scores(posts, pairs.community_index(tables.source_names(spark, sf_dir), "name"))
+    communities = tables.given_list(spark, _present_sources(spark, sf_dir))
+    grams = pipelines.ngram_overlaps(tables.texts(spark, sf_dir), communities)
+    authors = pipelines.author_overlaps(tables.posts(spark, sf_dir), communities)
+    scores = pipelines.text_scores(grams, authors, communities)
     return scores.select("s1", "s2", _round("ngram").alias("ngram"), _round("user").alias("user"))
 
 
@@ -295,9 +331,17 @@ def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("subreddit"))
 
 
+def _allowed_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored allow-list of brands, through a text file; it bounds every basket."""
+    path = shared_path(spark, "allowlist")
+    sources.write_lines(spark.createDataFrame([(b,) for b in ALLOWED_BRANDS], "name string"), path)
+    return sources.read_lines(spark, path)
+
+
 @_query
 def author_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = baskets.author_baskets(baskets.author_edges(tables.purchases(spark, sf_dir)))
+    allowed = _allowed_brands(spark, sf_dir)
+    lists = baskets.author_baskets(baskets.author_edges(tables.purchases(spark, sf_dir), allowed=allowed))
     return lists.select("author", _joined("communities").alias("communities"))
 
 
@@ -308,15 +352,16 @@ def frequent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def basket_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = materialize(baskets.author_edges(tables.purchases(spark, sf_dir)), "edges")
+    allowed = _allowed_brands(spark, sf_dir)
+    edges = materialize(baskets.author_edges(tables.purchases(spark, sf_dir), allowed=allowed), "edges")
     items = materialize(baskets.item_counts(edges, ITEM_SUPPORT), "items")
     lists = baskets.author_baskets(baskets.prune(edges, items))
     return lists.select("author", _joined("communities").alias("communities"))
 
 
-def _user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _user_pairs(spark: SparkSession, sf_dir: str, support: float = 0.0) -> DataFrame:
     communities = pairs.community_index(_brands(spark, sf_dir))
-    return pipelines.user_pairs(tables.purchases(spark, sf_dir), communities)
+    return pipelines.user_pairs(tables.purchases(spark, sf_dir), communities, support)
 
 
 @_query
@@ -324,6 +369,11 @@ def pair_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user_pairs(spark, sf_dir).select("s1", "s2", "freq")
 
 
+@_query
+def pair_support_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _user_pairs(spark, sf_dir, PAIR_SUPPORT).select("s1", "s2", "freq")
+
+
 @_query
 def assoc_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = baskets.association_rules(_user_pairs(spark, sf_dir))
@@ -378,18 +428,15 @@ def mod_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def meta_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.nation_metadata(spark, sf_dir)
+    return tables.nation_metadata(spark, sf_dir).drop("place")
 
 
 def _affix_scores(spark: SparkSession, sf_dir: str, any_affix: bool) -> DataFrame:
     listed = tables.part_names(spark, sf_dir).distinct()
-    tagged = _part_affixes(spark, sf_dir).select("name", "affixes", F.lit("").alias("mods"), F.lit("").alias("mentions"))
-    metadata = materialize(tagged, "metadata")
-    words = tables.word_list(spark, listed)
-    scored = meta.with_affix_score(
-        meta.metadata_pairs(metadata, pairs.community_index(metadata, "name")), words, any_affix
-    )
-    return scored.select("s1", "s2", F.col("affix").alias("score"))
+    affixes = names.affix_edges(listed, tables.affix_list(spark, names.mine_affixes(tables.typed_part_names(spark, sf_dir))))
+    communities = pairs.community_index(listed, "name")
+    scored = meta.affix_scores(affixes, communities, tables.word_list(spark, listed), any_affix)
+    return meta.on_pairs(communities, scored).select("s1", "s2", F.col("affix").alias("score"))
 
 
 @_query
@@ -402,38 +449,32 @@ def affix_similarity_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _affix_scores(spark, sf_dir, any_affix=True)
 
 
-def _nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metadata = tables.nation_metadata(spark, sf_dir)
-    return meta.metadata_pairs(metadata, pairs.community_index(metadata, "name"))
-
-
 @_query
 def mod_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _nation_pairs(spark, sf_dir)
-    return scored.select(
-        "s1",
-        "s2",
-        _round(meta.moderator_score()).alias("score"),
-        _round(meta.moderator_score(set_overlap=True)).alias("overlap_score"),
-    )
+    communities, mods = tables.nation_index(spark, sf_dir), materialize(tables.nation_mods(spark, sf_dir), "mods")
+    overlap = meta.moderator_scores(mods, communities, set_overlap=True).withColumnRenamed("moderator", "overlap")
+    scored = meta.on_pairs(communities, meta.moderator_scores(mods, communities), overlap)
+    return scored.select("s1", "s2", _round("moderator").alias("score"), _round("overlap").alias("overlap_score"))
 
 
 @_query
 def wiki_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _nation_pairs(spark, sf_dir)
-    return scored.select(
-        "s1",
-        "s2",
-        meta.mention_score().alias("score"),
-        meta.mention_score(co_mention=True).alias("co_mention_score"),
-    )
+    communities, mentioned = tables.nation_index(spark, sf_dir), materialize(tables.nation_mentions(spark, sf_dir), "mentions")
+    common = meta.mention_scores(mentioned, communities, co_mention=True).withColumnRenamed("mention", "co_mention_score")
+    scored = meta.on_pairs(communities, meta.mention_scores(mentioned, communities), common)
+    return scored.select("s1", "s2", F.col("mention").alias("score"), "co_mention_score")
 
 
 @_query
 def meta_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metadata = tables.nation_metadata(spark, sf_dir)
-    communities = pairs.community_index(metadata, "name")
-    scores = meta.meta_scores(metadata, communities, tables.nation_words(spark, sf_dir))
+    named = tables.nations(spark, sf_dir)
+    scores = meta.meta_scores(
+        names.affix_edges(named, tables.nation_affix_list(spark, sf_dir)),
+        tables.nation_mods(spark, sf_dir),
+        tables.nation_mentions(spark, sf_dir),
+        tables.nation_index(spark, sf_dir),
+        tables.nation_words(spark, sf_dir),
+    )
     return scores.select("s1", "s2", "affix", "mention", _round("moderator").alias("moderator"), _round("score").alias("score"))
 
 
@@ -451,9 +492,13 @@ def pair_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def fuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = tables.posts(spark, sf_dir)
-    metadata = tables.source_metadata(spark, sf_dir)
-    communities = pairs.community_index(metadata, "name")
-    words = tables.word_list(spark, metadata.select("name"))
-    scores = pipelines.fused_scores(posts, metadata, words, communities)
+    scores = pipelines.fused_scores(
+        tables.texts(spark, sf_dir),
+        tables.posts(spark, sf_dir),
+        tables.source_affixes(spark, sf_dir),
+        tables.source_mods(spark, sf_dir),
+        tables.source_mentions(spark, sf_dir),
+        tables.word_list(spark, tables.source_names(spark, sf_dir)),
+        tables.given_list(spark, _present_sources(spark, sf_dir)),
+    )
     return scores.select("s1", "s2", *[_round(c).alias(c) for c in ("text", "user", "meta", "total")])

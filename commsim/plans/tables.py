@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from commsim import sources
 from commsim.operators import meta, names
-from commsim.session import materialize, shared_path, spread
+from commsim.operators.index import DenseIndex
+from commsim.operators.pairs import community_index
+from commsim.session import materialize, shared_path
 
 DELETED = "[deleted]"
 
@@ -19,20 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts without authors: a document's source is its community."""
     documents = table(spark, sf_dir, "documents")
-    return spread(documents.select("doc_id", F.col("source").alias("subreddit"), F.col("text").alias("title")))
+    return documents.select("doc_id", F.col("source").alias("subreddit"), F.col("text").alias("title"))
 
 
-def post_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The user of the event with a document's number is its author; error events stand for deleted authors."""
-    events = table(spark, sf_dir, "events")
+def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a post below a document, dealt by remainder: ``(doc_id, subreddit, author, event_type, props)``.
+
+    Error events stand for deleted authors.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("subreddit"))
     author = F.when(F.col("event_type") == "error", DELETED).otherwise(F.col("user_id").cast("string"))
-    return events.select(F.col("event_id").alias("doc_id"), author.alias("author"), "event_type", "props")
+    events = table(spark, sf_dir, "events").select(
+        F.pmod("event_id", F.lit(documents.count())).alias("doc_id"), author.alias("author"), "event_type", "props"
+    )
+    return events.join(documents, "doc_id")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with authors: ``(subreddit, title, author)``."""
-    joined = texts(spark, sf_dir).join(post_authors(spark, sf_dir), "doc_id")
-    return joined.select("subreddit", "title", "author")
+    """Posts with authors: ``(subreddit, title, author)``, one for every event; titles are short."""
+    return event_posts(spark, sf_dir).select("subreddit", F.col("props").alias("title"), "author")
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +52,13 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, "l_partkey").join(orders, "l_orderkey").select("subreddit", "author")
 
 
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts without titles: customers are authors, the suppliers they order from are communities."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("subreddit"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("author"))
+    return lines.join(orders, "l_orderkey").select("subreddit", "author")
+
+
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of two words."""
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
@@ -78,51 +92,45 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_mods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moderators ``(name, mod)`` of a nation: the segments of its richest and of its poorest customer."""
-    by_balance = F.struct("c_acctbal", "c_custkey")
-    ends = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(
-        F.max_by("c_mktsegment", by_balance).alias("richest"), F.min_by("c_mktsegment", by_balance).alias("poorest")
+    """Moderators ``(name, mod)`` of a nation: segment and balance class of each of its customers."""
+    balance = F.floor(F.col("c_acctbal") / 1000).cast("string")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("key"), F.concat_ws("_", "c_mktsegment", balance).alias("mod")
     )
-    return ends.join(nations(spark, sf_dir), "key").select("name", F.explode(F.array("richest", "poorest")).alias("mod"))
+    return rows.distinct().join(nations(spark, sf_dir), "key").select("name", "mod")
 
 
 def nation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions ``(name, mention)`` of a nation: where its dearest line of each return flag and status comes from."""
-    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    """Mentions ``(name, mention)`` of a nation: where the order lines of its customers come from."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("key"))
-    dearest = F.max(F.struct("l_extendedprice", "o_orderkey", "l_linenumber", "l_suppkey"))
-    tops = (
-        lines.join(orders, "o_orderkey")
-        .join(customers, "c_custkey")
-        .groupBy("key", "l_returnflag", "l_linestatus")
-        .agg(dearest.alias("top"))
-        .select("key", F.col("top.l_suppkey").alias("s_suppkey"))
-    )
-    named = nations(spark, sf_dir)
     origin = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("origin"))
-    mentioned = tops.join(origin, "s_suppkey").join(
-        named.select(F.col("key").alias("origin"), F.col("name").alias("mention")), "origin"
-    )
+    bought = lines.join(orders, "o_orderkey").join(customers, "c_custkey").join(origin, "s_suppkey").select("key", "origin").distinct()
+    named = nations(spark, sf_dir)
+    mentioned = bought.join(named.select(F.col("key").alias("origin"), F.col("name").alias("mention")), "origin")
     return mentioned.join(named, "key").select("name", "mention")
 
 
-def nation_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = nations(spark, sf_dir)
-    return names.tag_affixes(named, affix_list(spark, names.mine_affixes(named)))
+def nation_affix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affix_list(spark, names.mine_affixes(nations(spark, sf_dir)))
 
 
 def nation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata of all nations, with nothing left out."""
-    return materialize(
-        meta.assemble(
-            nations(spark, sf_dir),
-            nation_affixes(spark, sf_dir),
-            meta.joined_lists(nation_mods(spark, sf_dir), "name", "mod", "mods"),
-            meta.joined_lists(nation_mentions(spark, sf_dir), "name", "mention", "mentions"),
-        ),
-        "metadata",
+    """Metadata of all nations in the order of their keys, which ``place`` carries."""
+    named = nations(spark, sf_dir)
+    lists = meta.assemble(
+        named,
+        names.tag_affixes(named, nation_affix_list(spark, sf_dir)),
+        meta.joined_lists(nation_mods(spark, sf_dir), "name", "mod", "mods"),
+        meta.joined_lists(nation_mentions(spark, sf_dir), "name", "mention", "mentions"),
     )
+    return materialize(lists.join(named.select("name", F.col("key").cast("long").alias("place")), "name"), "metadata")
+
+
+def nation_index(spark: SparkSession, sf_dir: str) -> DenseIndex:
+    """The nations as a given list, in the order of their keys."""
+    return community_index(nations(spark, sf_dir), "name", order="key")
 
 
 def nation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,55 +141,39 @@ def nation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wiki_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wiki pages ``(name, text)``: a page's language is its community, its links become mentions."""
     html = table(spark, sf_dir, "pages").select("html")
-    return spread(html).select(
+    return html.select(
         F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("name"),
         F.regexp_replace("html", 'href="/([^"]*)"', "r/$1/about ").alias("text"),
     )
 
 
 def source_mods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moderators ``(name, mod)`` of a source: the event types of its longest and of its shortest document."""
-    by_length = F.struct("n_chars", "doc_id")
-    joined = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("source").alias("name")).join(
-        post_authors(spark, sf_dir), "doc_id"
-    )
-    ends = joined.groupBy("name").agg(
-        F.max_by("event_type", by_length).alias("longest"), F.min_by("event_type", by_length).alias("shortest")
-    )
-    return ends.select("name", F.explode(F.array("longest", "shortest")).alias("mod"))
+    """Moderators ``(name, mod)`` of a source: the event types below its documents."""
+    return event_posts(spark, sf_dir).select(F.col("subreddit").alias("name"), F.col("event_type").alias("mod")).distinct()
 
 
 def source_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions ``(name, mention)`` of a source: its longest document in each language links to the document
-    numbered in its event, whose source is mentioned."""
-    documents = table(spark, sf_dir, "documents")
+    """Mentions ``(name, mention)`` of a source: each event below its documents names a document by number, whose source is mentioned."""
     link = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-    linked = (
-        documents.select("doc_id", "lang", "n_chars", F.col("source").alias("name"))
-        .join(post_authors(spark, sf_dir).select("doc_id", link.alias("link")), "doc_id")
-        .groupBy("name", "lang")
-        .agg(F.max_by("link", F.struct("n_chars", "doc_id")).alias("link"))
-    )
-    targets = documents.select(F.col("doc_id").alias("link"), F.col("source").alias("mention"))
-    return linked.join(targets, "link").select("name", "mention")
+    linked = event_posts(spark, sf_dir).select(F.col("subreddit").alias("name"), link.alias("link")).distinct()
+    targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("link"), F.col("source").alias("mention"))
+    return linked.join(targets, "link").select("name", "mention").distinct()
 
 
 def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
 
 
-def source_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, affix)`` of the affixes mined from the sources' names."""
     named = materialize(source_names(spark, sf_dir), "names")
-    affixes = affix_list(spark, names.mine_affixes(named))
-    return materialize(
-        meta.assemble(
-            named,
-            names.tag_affixes(named, affixes),
-            meta.joined_lists(source_mods(spark, sf_dir), "name", "mod", "mods"),
-            meta.joined_lists(source_mentions(spark, sf_dir), "name", "mention", "mentions"),
-        ),
-        "metadata",
-    )
+    return names.affix_edges(named, affix_list(spark, names.mine_affixes(named)))
+
+
+def given_list(spark: SparkSession, listed: list[str]) -> DenseIndex:
+    """A caller's list of communities in its own order."""
+    frame = spark.createDataFrame(list(enumerate(listed)), "place long, name string")
+    return community_index(frame, "name", order="place")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

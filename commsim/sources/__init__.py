@@ -5,6 +5,7 @@ from commsim.sources.files import (
     METADATA,
     POSTS,
     SCORES,
+    TEXT_SCORES,
     read_baskets,
     read_json,
     read_lines,
@@ -24,6 +25,7 @@ __all__ = [
     "METADATA",
     "POSTS",
     "SCORES",
+    "TEXT_SCORES",
     "read_baskets",
     "read_json",
     "read_lines",

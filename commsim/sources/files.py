@@ -20,6 +20,7 @@ COMPONENTS = _schema(subreddit=STRING, index=LONG)
 BASKET = _schema(author=STRING, communities=T.ArrayType(STRING))
 METADATA = _schema(name=STRING, affixes=STRING, mods=STRING, mentions=STRING)
 SCORES = _schema(s1=STRING, s2=STRING, score=DOUBLE)
+TEXT_SCORES = _schema(s1=STRING, s2=STRING, ngram=DOUBLE, user=DOUBLE)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -67,15 +68,20 @@ def read_baskets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
-    """Name and three ``|``-joined lists as CSV without header; moderators and mentions become ASCII."""
+    """Name and three ``|``-joined lists as CSV without header; moderators and mentions become ASCII.
+
+    A column ``place`` is written behind them. It keeps the order of the lines, which a file read in splits does not.
+    """
+    placed = ["place"] if "place" in metadata.columns else []
     metadata.select(
-        "name", "affixes", strip_non_ascii(F.col("mods")).alias("mods"), strip_non_ascii(F.col("mentions")).alias("mentions")
+        "name", "affixes", strip_non_ascii(F.col("mods")).alias("mods"), strip_non_ascii(F.col("mentions")).alias("mentions"), *placed
     ).write.csv(path)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata rows with properly quoted fields; an absent list is the empty string."""
-    return spark.read.schema(METADATA).csv(path).na.fill("")
+def read_metadata(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """Metadata rows with properly quoted fields; an absent list is the empty string. ``placed`` files carry ``place``."""
+    schema = T.StructType([*METADATA.fields, T.StructField("place", LONG)]) if placed else METADATA
+    return spark.read.schema(schema).csv(path).na.fill("")
 
 
 def read_pair_scores(spark: SparkSession, path: str, schema: T.StructType = SCORES, array_file: bool = False) -> DataFrame:
