@@ -3,7 +3,7 @@
 Mining needs the longest common substring of every ordered pair of names, but only how often each
 string is one. So names get dense ordinals and, as for overlaps, 64 share a bit mask: for each substring
 of a name, longest first, the mask of names that contain it minus the names settled by a longer one gives
-the pairs it decides. No pair of names becomes a row.
+the pairs it decides. No pair of names becomes a row. Substrings that a longer one replaces everywhere go before the join.
 """
 
 from __future__ import annotations
@@ -20,9 +20,32 @@ MIN_AFFIX = 4
 
 
 def name_substrings(names: DataFrame, name: Column, *keys: str, min_length: int = 1) -> DataFrame:
-    """``keys`` with ``start`` and ``sub`` of each substring of each name; names are short by nature."""
-    parts = names.select(*keys, F.explode_outer(substrings(name, min_length)).alias("part"))
-    return parts.where(F.col("part").isNotNull()).select(*keys, "part.start", "part.sub")
+    """``keys`` with ``start``, ``sub`` and the characters ``before`` and ``after`` it of each substring of each name.
+
+    Names are short by nature. The characters are empty at the ends of a name.
+    """
+    parts = names.select(*keys, name.alias("whole"), F.explode_outer(substrings(name, min_length)).alias("part"))
+    start, sub = F.col("part.start"), F.col("part.sub")
+    before = F.when(start > 0, F.substr("whole", start, F.lit(1))).otherwise("")
+    after = F.substr("whole", start + F.length(sub) + 1, F.lit(1))
+    return parts.where(F.col("part").isNotNull()).select(*keys, start.alias("start"), sub.alias("sub"), before.alias("before"), after.alias("after"))
+
+
+def divergent(parts: DataFrame, owner: str = "ord") -> DataFrame:
+    """The substrings that can be the longest common one of two names: ``parts`` of more than one name that differ before and after.
+
+    If all places of a substring go on with the same character, on either side, the longer string stands at the same
+    offsets in the same names and is preferred for every pair.
+    """
+    ends = parts.groupBy("sub").agg(
+        (F.min("before") < F.max("before")).alias("left"),
+        (F.min("after") < F.max("after")).alias("right"),
+        F.min("before").alias("first"),
+        F.min("after").alias("last"),
+        (F.min(owner) < F.max(owner)).alias("shared"),
+    )
+    kept = ends.where("shared AND (left OR first = '') AND (right OR last = '')").select("sub")
+    return parts.join(materialize(kept, "divergent"), "sub")
 
 
 def common_of(parts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -31,6 +54,7 @@ def common_of(parts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     A substring of name ``i`` counts if it stands in name ``j`` at the same or a later offset. Ties go to the
     smallest shift, then to the smallest offset in ``i``. ``pairs`` limits the pairs; pairs without one have no row.
     """
+    parts = materialize(divergent(parts).select("ord", "start", "sub"), "substrings")
     second = parts.select(F.col("ord").alias("i"), "start", "sub")
     if pairs is None:
         matches = second.join(parts.select(F.col("ord").alias("j"), F.col("start").alias("at"), "sub"), "sub").where("i <> j")
@@ -65,6 +89,7 @@ def lcs_counts(names: DenseIndex, name: Column, min_length: int = MIN_AFFIX) ->
     Counts strings of at least ``min_length``; see :func:`common_of` for the offset rule and ties.
     """
     parts = materialize(name_substrings(names.frame, name, "ord", min_length=min_length), "substrings")
+    parts = materialize(divergent(parts).select("ord", "start", "sub"), "substrings")
     holders = parts.groupBy("sub", F.col("start").alias("at"), tile(F.col("ord")).alias("tile")).agg(
         tile_mask(F.col("ord")).alias("mask")
     )
