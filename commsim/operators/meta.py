@@ -71,7 +71,7 @@ def _whole_lists(edges: DataFrame, names: DenseIndex, value: str) -> DataFrame:
 def moderator_scores(mods: DataFrame, names: DenseIndex, set_overlap: bool = False) -> DataFrame:
     """``(i, j, moderator)``: the share of the target's moderators that equal the other's whole list; with
     ``set_overlap``, that are among the other's moderators."""
-    held = materialize(_whole_lists(mods, names, "mod"), "mods")
+    held = _whole_lists(mods, names, "mod")
     target = held.select(F.col("ord").alias("i"), "mod", "n")
     other = held if set_overlap else held.where("n = 1")
     shared = target.join(other.select(F.col("ord").alias("j"), "mod"), "mod").where("i <> j")

@@ -172,8 +172,8 @@ def source_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def given_list(spark: SparkSession, listed: list[str]) -> DenseIndex:
     """A caller's list of communities in its own order."""
-    frame = spark.createDataFrame(list(enumerate(listed)), "place long, name string")
-    return community_index(frame, "name", order="place")
+    places = {name: i for i, name in enumerate(dict.fromkeys(listed))}
+    return DenseIndex(spark.createDataFrame(list(places.items()), "community string, ord long"), len(places))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
