@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from commsim.llm import decontamination, html, katz, toxicity
+from commsim.llm import decontamination, html, katz, simhash, toxicity
 
 PLAIN = "the idea of an online river and stone inside a garden with some trees near water".split()
 BAD = ["moron", "idiot", "scum"]
@@ -166,7 +167,8 @@ def test_katz_counts_sum_to_one(spark):
     total, floor = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
     table, model = katz.model_of(frame.where("NOT coalesce(crc32(cast(doc_id as string)) % 5 = 1, false)").select("text"))
     assert {r.word: r.n for r in table.collect()} == counts and model["total"] == total
-    place, _, unigram, bigram, seen, backoff = model["head"]
+    place, _, unigram, bigram, seen, backoff = model["frequent"]
+    place = {w: i for w, i in place.items() if i < seen.shape[1]}
     d, free = model["d"], 10 ** model["unseen"]
     p = {w: (n * d[n] if n <= 5 else n) / model["scale"] for w, n in counts.items()}
     assert sum(p.values()) + free == pytest.approx(1)
@@ -210,11 +212,22 @@ def test_pipeline_keeps_clean_documents(spark, labelled, tmp_path):
     table.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
-    # Texts of few different words can be near-duplicates of each other, so only the planted rows are exact.
-    assert {i for i in ids if i >= 1000} == {1001, 1002, 1003} and {i for i in ids if i < 1000} <= clean
+    ids = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scored = toxicity.score(frame, toxicity.fit(frame, labels)).where("score < 0.5").orderBy("doc_id").collect()
+    kept, prints = [], {r.doc_id: simhash.fingerprint_of(r.text) for r in scored}
+    low = {i: i for i in prints}  # smallest id reachable, by brute force
+    changed = True
+    while changed:
+        changed = False
+        for i, j in combinations(prints, 2):
+            if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 2 and low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                changed = True
+    for r in scored:
+        leaked = edits(item.split(), decontamination.words_of(r.text)) <= 6
+        kept += [r.doc_id] if low[r.doc_id] == r.doc_id and not leaked else []
+    assert ids == kept and {i for i in ids if i >= 1000} == {1001, 1002, 1003}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, str(tmp_path)).columns == frame.columns, name
 
