@@ -167,18 +167,20 @@ def test_katz_counts_sum_to_one(spark):
     total, floor = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
     table, model = katz.model_of(frame.where("NOT coalesce(crc32(cast(doc_id as string)) % 5 = 1, false)").select("text"))
     assert {r.word: r.n for r in table.collect()} == counts and model["total"] == total
-    place, _, unigram, bigram, seen, backoff = model["frequent"]
-    place = {w: i for w, i in place.items() if i < seen.shape[1]}
+    place, _, unigram, backoff = model["frequent"]
+    h = len(backoff) - 2
+    place = {w: i for w, i in place.items() if i < h}
+    gains = {(r.pair // h, r.pair % h): r.gain for r in model["pairs"].collect()}
+    seen = Counter((b, w) for i, ws in token_lists if not held(i) for b, w in zip([None, *ws], ws))
+    assert set(gains) == {(place[b] if b else h, place[w]) for b, w in seen if (b is None or b in place) and w in place}
     d, free = model["d"], 10 ** model["unseen"]
     p = {w: (n * d[n] if n <= 5 else n) / model["scale"] for w, n in counts.items()}
     assert sum(p.values()) + free == pytest.approx(1)
     prob = lambda w: p.get(w, free)
 
     def after(context, w):
-        row = place.get(context) if context is not None else len(place)
-        if row is not None and w in place and seen[row, place[w]]:
-            return 10 ** bigram[row, place[w]]
-        return prob(w) * (1 if row is None else 10 ** backoff[row])
+        row = h if context is None else place.get(context, h + 1)
+        return prob(w) * 10 ** (backoff[row] + gains.get((row, place.get(w)), 0.0))
 
     for context in [*place, None, "r7"]:
         assert sum(after(context, w) for w in counts) + after(context, "unknown") == pytest.approx(1)
