@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commsim.llm.columns import spare
 from commsim.llm.spans import count_kind, find_spans, joined, tag
 from commsim.session import materialize
 
@@ -127,12 +128,13 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, repository: Column, owner: Column, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     """``docs`` with live-looking values masked and ``n_chars``, if there is one, set anew; all rows stay."""
     judged = verdicts(findings(docs, repository, owner), shared_owners).where("n_live > 0")
-    judged = judged.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("live").alias("__live"))
-    hit = docs["doc_id"].eqNullSafe(judged["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged["__hash"])
-    clean = F.when(F.col("__live").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__live")))
+    key, text_hash, live = spare(docs, "__id"), spare(docs, "__hash"), spare(docs, "__live")
+    judged = judged.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("live").alias(live))
+    hit = docs["doc_id"].eqNullSafe(judged[key]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged[text_hash])
+    clean = F.when(F.col(live).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(live)))
     out = docs.join(judged, hit, "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(live).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

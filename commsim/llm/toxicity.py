@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commsim.llm.columns import spare
 from commsim.session import materialize
 
 FIT_ROWS = 8_000
@@ -354,8 +355,9 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below ``threshold``, with the columns of ``docs``."""
-    scored = score(docs, fit(docs, labels), "__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).select(*docs.columns)
+    out = spare(docs, "__toxicity")
+    scored = score(docs, fit(docs, labels), out)
+    return scored.where(F.col(out) < threshold).select(*docs.columns)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
