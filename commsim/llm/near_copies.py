@@ -1,0 +1,155 @@
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Candidates share the smallest hashes of one of :data:`BANDS` bands and differ in at most :data:`RADIUS` bits of the
+SimHash of their distinct shingles, compared bit-sliced inside the band's buckets. Spanning forests of the candidates give groups; inside
+a group the Jaccard similarity is computed from the whole shingle sets, and only pairs that reach it are linked.
+
+The chance that a pair at the limit shares no band is ``(1 - 0.8 ** 4) ** 24``, 3e-6; that it differs in more bits than the
+radius, about as much. Groups over :data:`CHUNK` sets are cut into chunks, and every pair of chunks is one task. Equal sets count as one.
+
+Defined results: null and empty texts have the empty set and are copies of each other; texts of fewer than five words have one
+shingle; rows with a null id influence nothing and stay; repeated rows stay; an empty table gives an empty result.
+Whole texts are read. All columns stay, whatever their names.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from commsim.llm import simhash
+from commsim.llm.columns import spare
+from commsim.llm.components import components
+from commsim.session import materialize, small
+
+WORDS = 5
+LEAST = 0.8
+RADIUS = 24
+BANDS = 24
+ROWS = 4
+CHUNK = 512
+STEP = 4096
+
+_RANDOM = np.random.default_rng(simhash.SEED)
+_FLIPS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(simhash.shingle_hashes(text, words))
+
+
+def set_key(shingles: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(shingles.tobytes(), simhash.SEED) - (1 << 63)
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band, equal for sets with the same smallest hashes; the empty set has no band."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(shingles), STEP):
+        part = shingles[at : at + STEP]
+        for k in range(BANDS * ROWS):
+            least[k] = min(least[k], ((part ^ _FLIPS[k]) * _FACTORS[k]).min())
+    keys = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch["text"]]
+        yield pd.DataFrame(
+            {
+                "id": batch["id"],
+                "set_key": [set_key(s) for s in sets],
+                "print": [simhash.majority(s) if len(s) else 0 for s in sets],
+                "bands": [bands_of(s) for s in sets],
+            }
+        )
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch["text"]]
+        frame = pd.DataFrame({"id": batch["id"], "component": batch["component"], "n": batch["n"], "shingles": [s.view(np.int64) for s in sets]})
+        yield frame[np.fromiter((set_key(s) for s in sets), np.int64, len(sets)) == batch["set_key"].to_numpy()]
+
+
+def _link_block(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids, column = table.column("id").to_numpy(), table.column("shingles").combine_chunks()
+        values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+        values = np.unique(values, return_inverse=True)[1]
+        sizes, starts = np.diff(ends, prepend=0), np.concatenate(([0], ends[:-1]))
+        group = np.arange(len(ids))  # of linked sets
+        held = np.zeros(int(values.max()) + 1 if len(values) else 0, np.int64)
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            n = sizes[i]
+            ahead = np.arange(i + 1, len(ids))
+            fits = (np.minimum(sizes[ahead], n) >= least * np.maximum(sizes[ahead], n)) & (group[ahead] != group[i])
+            ahead = ahead[fits]
+            if not len(ahead):
+                continue
+            own = values[starts[i] : ends[i]]
+            held[own] = 1
+            for at in range(0, len(ahead), 64):
+                part = ahead[at : at + 64]
+                common = np.add.reduceat(held[np.concatenate([values[starts[j] : ends[j]] for j in part])], np.cumsum(sizes[part]) - sizes[part])
+                for j in part[common >= least * (n + sizes[part] - common)].tolist():
+                    if group[j] != group[i]:
+                        group[group == group[j]] = group[i]
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+            held[own] = 0
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def exact_links(sets: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``(a, b)`` that connect exactly the sets ``(id, component, n, shingles)`` of a component linked by chains of similar pairs."""
+    n = F.ceil(F.col("n") / chunk)
+    own = F.pmod(F.xxhash64("id"), n)
+    spread = sets.select("id", "component", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    blocks = spread.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "shingles")
+    return blocks.groupBy("component", "low", "high").applyInArrow(_link_block(least), "a long, b long")
+
+
+def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``(id, component)``, one row for every id of ``docs`` whose near copies include another; ``component`` is the smallest id reachable."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
+    read = materialize(texts.mapInPandas(_read, "id long, set_key long, print long, bands array<long>"), "sets")
+    # Of equal sets the smallest id stands for all.
+    reps = read.groupBy("set_key").agg(F.min_by(F.struct("id", "print", "bands"), "id").alias("r")).select("set_key", "r.*")
+    reps = materialize(reps, "reps")
+    buckets = reps.select("id", "print", F.posexplode("bands").alias("choice", "bucket"))
+    close = components(simhash.bucket_links(buckets, RADIUS)).withColumnRenamed("node", "id")
+    close = materialize(close, "candidates")
+    sizes = materialize(close.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    chosen = materialize(reps.select("id", "set_key").join(close, "id").join(sizes, "component"), "chosen")
+    sets = texts.join(small(chosen), "id").mapInPandas(_sets, "id long, component long, n long, shingles array<long>")
+    sets = materialize(sets.select("id", "component", "n", "shingles"), "shingles")
+    equal = read.join(reps.select("set_key", F.col("id").alias("rep")), "set_key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return components(exact_links(sets, least).unionByName(equal)).withColumnRenamed("node", "id")
+
+
+def keep_first(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents of ``docs`` without those whose near copies include a smaller id; null ids stay."""
+    dropped = spare(docs, "__dropped")
+    extra = near_copies(docs, least).where("id <> component").select(F.col("id").alias(dropped))
+    extra = materialize(extra, "near_copies")
+    return docs.join(extra, docs["doc_id"] == extra[dropped], "left_anti")

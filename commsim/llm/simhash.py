@@ -36,20 +36,24 @@ CHUNK = 4096
 HASH_STEP = 1 << 15
 
 
-def fingerprint_of(text: str | None, words: int = WORDS) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's word shingles in their order; of all its words, if they are fewer than ``words``."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = memoryview(b" ".join(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     span = min(words, len(tokens))
     first, last = starts[: len(tokens) - span + 1].tolist(), ends[span - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(first, last)), np.uint64, len(first))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(first, last)), np.uint64, len(first))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bitwise majority of ``hashes`` as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), HASH_STEP):
         part = hashes[at : at + HASH_STEP].view(np.uint8).reshape(-1, 8)
@@ -58,6 +62,11 @@ def fingerprint_of(text: str | None, words: int = WORDS) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint_of(text: str | None, words: int = WORDS) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprint(text: Column, words: int = WORDS) -> Column:
     @F.pandas_udf(T.LongType())
     def fingerprints(texts: pd.Series) -> pd.Series:
@@ -185,6 +194,11 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, chunk: in
     rows = prints.select("id", "print", F.explode(masks).alias("m")).select(
         "id", "print", F.col("m.choice").alias("choice"), F.col("print").bitwiseAND(F.col("m.mask")).alias("bucket")
     )
+    return bucket_links(rows, radius, chunk)
+
+
+def bucket_links(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``(a, b)`` that connect what chains of at most ``radius`` bits link inside the buckets of ``(id, print, choice, bucket)``."""
     sizes = rows.groupBy("choice", "bucket").agg(F.count("*").alias("n"))
     hot = materialize(sizes.where(F.col("n") > chunk), "hot_buckets")
     plain = rows.withColumns({"task": F.lit(0).cast("long"), "side": F.lit(2)})

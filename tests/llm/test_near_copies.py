@@ -1,0 +1,63 @@
+"""Near copies of the pipeline against brute force."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from commsim.llm import near_copies, simhash
+
+
+def shingles(text: str | None) -> set[str]:
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def similarity(a: set, b: set) -> float:
+    return len(a & b) / len(a | b)
+
+
+def edited_texts(n: int) -> list[str]:
+    rng = random.Random(12)
+    texts = []
+    for _ in range(n):
+        words = [f"w{rng.randint(0, 2000)}" for _ in range(rng.choice([30, 80, 300]))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            edited = list(words)
+            for _ in range(max(1, round(len(words) * rng.choice([0.01, 0.02, 0.03])))):
+                edited[rng.randrange(len(edited))] = f"z{rng.randint(0, 2000)}"
+            texts.append(" ".join(edited))
+    return texts
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = [*edited_texts(30), None, "", "one two", "ONE\ttwo", "one three"]
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i, j in combinations(range(len(texts)), 2) if similarity(sets[i], sets[j]) >= 0.8]
+    far = [(i, j) for i, j in linked if ((simhash.fingerprint_of(texts[i]) ^ simhash.fingerprint_of(texts[j])) & (1 << 64) - 1).bit_count() > 2]
+    assert len(far) > 30
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, j in linked:
+            low[i] = low[j] = min(low[i], low[j])
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__dropped", F.lit(1)).withColumn("id", F.lit(1))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [i for i, _ in rows if i is None or low[i] == i]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_large_groups_are_compared_in_blocks(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    sets = [near_copies.shingle_set(" ".join(w if rng.random() > 0.03 else f"z{rng.random()}" for w in base)) for _ in range(90)]
+    rows = [(i, 0, len(sets), s.view("int64").tolist()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "id long, component long, n long, shingles array<long>")
+    whole, cut = ({(r.node, r.component) for r in near_copies.components(near_copies.exact_links(frame, chunk=c)).collect()} for c in (512, 7))
+    assert whole == cut and len(whole) > 20
