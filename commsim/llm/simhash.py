@@ -33,6 +33,7 @@ WORDS = 3
 RADIUS = 2
 PARTS = 5
 CHUNK = 4096
+FEW = 1 << 14  # up to so many pairs, planes cost more than they save
 HASH_STEP = 1 << 15
 
 
@@ -86,6 +87,8 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
 
 def near(queries: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Positions ``(query, value)`` of all pairs that differ in at most ``radius`` bits."""
+    if len(queries) * len(values) <= FEW:
+        return np.nonzero(np.bitwise_count(queries[:, None] ^ values[None, :]) <= radius)
     planes = bit_planes(values)
     counters = max(1, int(radius + 1).bit_length())
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
