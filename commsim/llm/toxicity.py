@@ -56,9 +56,9 @@ COST_LOOKALIKE, COST_NOISE, COST_LETTER_LOST, COST_JOIN = -2.0, -3.0, -1.0, -1.5
 TOKEN = re.compile(r"\S+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 RUN = re.compile(r"(.)\1\1")
-SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ ._*\-]{1,2}[\w@$!|+]){2,}(?!\S)")
+# Single letters or look-alikes with any run of other signs between them; the two kinds of signs differ, so the search is linear.
+SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:(?:[^\w@$!|+]|_)++(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
 ODD = re.compile(r"[\d_@$!|+(<€£¡*.\-​-‏⁠﻿]|(.)\1\1")
-LONGEST = 60
 
 
 def code_table() -> np.ndarray:
@@ -127,10 +127,10 @@ def lattice(noisy: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(noisy: str, model: np.ndarray) -> str:
     """The likeliest reading of a lower-case noisy word or spelled-out word; may hold spaces."""
-    paths = {(0, 0): (0.0, "")}
+    paths: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # a text is a chain of outputs, so that long ones are not copied
     for outputs in lattice(noisy):
-        onward: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+        onward: dict[tuple[int, int], tuple] = {}
+        for (a, b), (score, chain) in paths.items():
             for out, cost in outputs:
                 x, y, total = a, b, score + cost
                 for letter in out:
@@ -138,35 +138,35 @@ def viterbi(noisy: str, model: np.ndarray) -> str:
                     total += model[x, y, code]
                     x, y = y, code
                 if (x, y) not in onward or total > onward[x, y][0]:
-                    onward[x, y] = (total, text + out)
+                    onward[x, y] = (total, (chain, out) if out else chain)
         paths = onward
-    return max((score + model[a, b, 0], text) for (a, b), (score, text) in paths.items())[1]
+    chain = max(((score + model[a, b, 0], chain) for (a, b), (score, chain) in paths.items()), key=lambda p: p[0])[1]
+    letters = []
+    while chain is not None:
+        chain, out = chain
+        letters.append(out)
+    return "".join(reversed(letters))
 
 
 def readings(token: str, model: np.ndarray) -> list[str]:
     """The restored words of one lower-case token."""
     core = EDGE.sub("", token)
-    if core.isalpha() and not RUN.search(core):
+    if core.isalpha() and not RUN.search(core) and not any(c in LOOKALIKES for c in token):
         return [core]
     if not ODD.search(token) or not any(c.isalpha() for c in token):
         return re.findall(r"[^\W\d_]+", token)
     plain = re.findall(r"[^\W\d_]+", token)
-    # Signs at the edges are read as letters too; longer strings are keys and addresses, read piece by piece.
-    decoded = [w for piece in _pieces(token) for w in viterbi(piece, model).split()]
+    # Signs at the edges are read as letters too.
+    decoded = viterbi(token, model).split()
     return [*decoded, *(w for w in plain if w not in decoded)]
 
 
-def _pieces(token: str) -> list[str]:
-    return [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]
-
-
 def restore(text: str, model: np.ndarray, known: dict[str, list[str]] | None = None) -> set[str]:
     """The distinct restored words of a text."""
     lower = text.lower()
     words: set[str] = set()
     for match in SPELLED.finditer(lower):
-        for piece in _pieces(match.group()):
-            words.update(viterbi(piece, model).split())
+        words.update(viterbi(match.group(), model).split())
     for token in set(lower.split()):
         if token.isalpha() and not RUN.search(token):
             words.add(token)
@@ -210,8 +210,7 @@ class Model:
         lower, total = (text or "").lower(), self.prior
         seen: set[str] = set()
         for match in SPELLED.finditer(lower):
-            for piece in _pieces(match.group()):
-                seen.update(w for w in viterbi(piece, self.characters).split() if self.weight(w) > 0)
+            seen.update(w for w in viterbi(match.group(), self.characters).split() if self.weight(w) > 0)
         if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
