@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commsim.llm import decontamination, embeddings, html, katz, mixing, pii, secrets, simhash, substrings, toxicity
+from commsim.llm import decontamination, embeddings, fill_in_middle, html, katz, mixing, packing, pii, runs, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_substrings": substrings.op9_substrings,
         "op10_secrets": secrets.op10_secrets,
+        "op11_runs": runs.op11_runs,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_packing": packing.op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE}
