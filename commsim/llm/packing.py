@@ -16,6 +16,7 @@ number of rounds is that of the classes, whatever the input. No row holds more t
 
 Ids of a word do not depend on other words when the tokenizer splits at white space, so each task encodes a word once and
 remembers it; ``word_cache`` bounds the memory, not the result. Turn ``by_words`` off for tokenizers that read across white space.
+Words of Latin letters go straight to the tokenizer's model, if its file says that it lower-cases and splits letters from all else.
 
 Defined results: null and empty texts are the closing id alone; null ids are carried along; repeated rows are packed like any
 others; an empty table gives an empty result. Whole texts are read. Columns other than ``doc_id`` and ``text`` are not read.
@@ -23,9 +24,10 @@ others; an empty table gives an empty result. Whole texts are read. Columns othe
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,10 @@ from commsim.session import materialize
 
 CAPACITY = 2048
 END = 0
-WORD_CACHE = 300_000
+WORD_CACHE = 500_000
+LETTER_RUNS = r"[\p{L}]+"
+CLOSING = ".,;:!?"  # signs that no pattern joins to letters before them
+LAST_LETTER = "\u00ff"  # up to here, letters are composed and have one lower case
 FRACTIONS = (2, 3, 4, 6, 8, 12, 16)  # of a sequence: bounds between classes
 WIDE = 4  # the step between bounds of shorter pieces
 
@@ -49,33 +54,83 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> list[str]:
+    """The sign by which byte-level tokenizers write each byte: itself if it is printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    signs, following = [], 256
+    for byte in range(256):
+        signs.append(chr(byte if byte in printable else following))
+        following += byte not in printable
+    return signs
+
+
+def reads_letters_alone(config: dict) -> bool:
+    """Whether a tokenizer lower-cases, splits runs of letters from all else, and then merges their bytes."""
+    steps = {n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])}
+    split, *rest = (config.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return (
+        steps == {"NFC", "Replace", "Lowercase"}
+        and LETTER_RUNS in split.get("pattern", {}).get("Regex", "").split("|")
+        and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        and config.get("post_processor") is None
+        and config["model"]["type"] == "BPE"
+    )
+
+
+def _word_encoder(vocabulary: str, word_cache: int):
+    """Gives the ids of a word, as bytes; remembers words, and their letters without case and closing signs."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocabulary)
+    by_letters, signs, merge = reads_letters_alone(json.loads(vocabulary)), _byte_signs(), tokenizer.model.tokenize
+    parts: dict[str, bytes] = {}
+
+    def whole(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(text: str) -> bytes:
+        written = text if text.isascii() else "".join([signs[b] for b in text.encode()])
+        return array("I", [t.id for t in merge(written)]).tobytes()
+
+    def remembered(text: str, encode) -> bytes:
+        ids = parts.get(text)
+        if ids is None:
+            if len(parts) >= word_cache:
+                parts.clear()
+            ids = parts[text] = encode(text)
+        return ids
+
+    class Words(dict):
+        def __missing__(self, word: bytes) -> bytes:
+            text = word.decode("utf-8", "replace")
+            core = text.rstrip(CLOSING) if by_letters else ""
+            if core.isalpha() and (core.isascii() or max(core) <= LAST_LETTER):
+                ids = remembered(core.lower(), letters)
+                if len(core) < len(text):
+                    ids += remembered(text[len(core) :], whole)
+            else:
+                ids = whole(text)
+            self[word] = ids
+            return ids
+
+    known = Words()
+
+    def ids_of(words: list[bytes]) -> bytes:
+        if len(known) > word_cache:
+            known.clear()
+        return b"".join(map(known.__getitem__, words))
+
+    return whole, ids_of
+
+
 def _encode(vocabulary: str, capacity: int, end: int, by_words: bool, word_cache: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary)
-        known: dict[bytes, bytes] = {}
-
-        def packed(texts: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [np.array(f.ids, "<u4").tobytes() for f in found]
-
-        def encoded(text: str) -> bytes:
-            if not by_words:
-                return packed([text])[0]
-            words = text.encode("utf-8", "surrogatepass").split()
-            fresh = list(set(words).difference(known))
-            if len(known) + len(fresh) > word_cache:
-                known.clear()
-                fresh = list(set(words))
-            known.update(zip(fresh, packed([w.decode("utf-8", "replace") for w in fresh])))
-            return b"".join(map(known.__getitem__, words))
-
-        closing = np.array([end], "<u4").tobytes()
+        whole, ids_of = _word_encoder(vocabulary, word_cache)
+        closing = array("I", [end]).tobytes()
         for batch in batches:
             rows, size = [], 0
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                ids = encoded(text) + closing
+                ids = (ids_of(text.encode("utf-8", "surrogatepass").split()) if by_words else whole(text)) + closing
                 size += len(ids)
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
@@ -98,7 +153,7 @@ def token_pieces(
     """``(doc_id, piece, start, length, ids)``: the token ids of each ``text``, closed by ``end``, in pieces of at most ``capacity``.
 
     ``vocabulary`` is the path of a tokenizer file that the driver can read; its content travels to the tasks. ``ids`` are
-    little-endian unsigned 32-bit numbers.
+    little-endian unsigned 32-bit numbers, on machines of that order.
     """
     with open(vocabulary, encoding="utf-8") as file:
         content = file.read()

@@ -96,6 +96,20 @@ def test_pieces_hold_all_ids(spark, by_words, cache):
     assert all(r.length * 4 == len(r.ids) for r in rows)
 
 
+def test_words_encode_as_in_their_text():
+    path = packing.public_vocabulary()
+    with open(path, encoding="utf-8") as file:
+        content = file.read()
+    tokenizer, (_, ids_of) = Tokenizer.from_file(path), packing._word_encoder(content, 40)
+    rng = random.Random(9)
+    signs = "abcdeABCDEsStTß ÀéñÑµªÿŸĀıİσΣé́.,;:!?'’-_<|>09½²×÷ \t\n\u00a0\u2003\u0085"
+    parts = ["'s", "'ll", "can't", "<|endoftext|>", "<|ENDOFTEXT|>", "...", "?!", "École", "über-", "don't,", "it's."]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.2 else rng.choice(signs) for _ in range(rng.randint(0, 30)))
+        expected = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids_of(text.encode().split()), "<u4").tolist() == expected, text
+
+
 def test_sequences_hold_their_pieces(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     packed = packing.pack(packing.token_pieces(docs, packing.public_vocabulary(), capacity=64), capacity=64)
