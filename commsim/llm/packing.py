@@ -41,10 +41,12 @@ LETTER_RUNS = r"[\p{L}]+"
 CLOSING = ".,;:!?"  # signs that no pattern joins to letters before them
 LAST_LETTER = "\u00ff"  # up to here, letters are composed and have one lower case
 FRACTIONS = (2, 3, 4, 6, 8, 12, 16)  # of a sequence: bounds between classes
+ROWS_PER_FILE = 500_000
 WIDE = 4  # the step between bounds of shorter pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-SWEPT = "part int, is_slot boolean, id long, length int, mate long, place long"
+SWEPT = "part int, kind int, id long, length int, mate long, place long"
+PIECE, SLOT, COUNTS = 0, 1, 2  # the kinds of rows that a sweep gives
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -176,9 +178,9 @@ def classes(capacity: int) -> list[tuple[int, int]]:
 
 
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matches the sorted rows of one range; what finds no partner is numbered."""
+    """Matches the sorted rows of one range, numbers what finds no partner, and ends with the numbers of such pieces and slots."""
     slots: list[int] = []
-    part, alone = 0, 0
+    part, alone = -1, 0
     for batch in batches:
         if not len(batch):
             continue
@@ -197,15 +199,16 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mates.append(None)
                 places.append(alone)
                 alone += 1
-        yield _swept(part, False, pieces, lengths, mates, places)
+        yield _swept(part, PIECE, pieces, lengths, mates, places)
     for at in range(0, len(slots), 1 << 16):
         left = slots[at : at + (1 << 16)]
-        yield _swept(part, True, left, [0] * len(left), [None] * len(left), list(range(at, at + len(left))))
+        yield _swept(part, SLOT, left, [0] * len(left), [None] * len(left), list(range(at, at + len(left))))
+    if alone or slots:
+        yield _swept(part, COUNTS, [alone], [0], [len(slots)], [-1])
 
 
-def _swept(part: int, is_slot: bool, ids: list, lengths: list, mates: list, places: list) -> pd.DataFrame:
-    columns = {"part": part, "is_slot": is_slot, "id": ids, "length": lengths, "mate": pd.array(mates, "Int64"), "place": places}
-    return pd.DataFrame(columns)
+def _swept(part: int, kind: int, ids: list, lengths: list, mates: list, places: list) -> pd.DataFrame:
+    return pd.DataFrame({"part": part, "kind": kind, "id": ids, "length": lengths, "mate": pd.array(mates, "Int64"), "place": places})
 
 
 def match_leftovers(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple], int]:
@@ -233,8 +236,17 @@ def match_leftovers(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], li
     return borrowed, opened, rank
 
 
-def place_class(pieces: DataFrame, gaps: DataFrame, above: int, up_to: int, capacity: int, next_gap: int) -> tuple[DataFrame, int]:
-    """One round: ``(id, length, gap)`` of all ``pieces`` ``(id, length)`` of a class, and the next free number of a gap."""
+def _written(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """``df`` of about so many rows, written in files that grow with them rather than one for each shuffle partition."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_FILE)
+    return materialize(df.coalesce(tasks), label)
+
+
+def place_class(pieces: DataFrame, count: int, gaps: DataFrame, above: int, up_to: int, capacity: int, next_gap: int) -> tuple[DataFrame, int]:
+    """One round: ``(id, length, gap, opens)`` of all ``count`` ``pieces`` ``(id, length)`` of a class, and the next free number of a gap.
+
+    The first piece of a new sequence ``opens`` it.
+    """
     spark = pieces.sparkSession
     fits = F.greatest(F.lit(1), F.floor(F.col("free") / up_to)).cast("int")
     wide = gaps.where(F.col("free") > above).select("gap", "free", fits.alias("n"))
@@ -242,27 +254,28 @@ def place_class(pieces: DataFrame, gaps: DataFrame, above: int, up_to: int, capa
     rows = slots.unionByName(pieces.select(F.lit(False).alias("is_slot"), "id", F.col("length").cast("int").alias("length"), F.lit(0).alias("number")))
     order = [F.col("length").desc(), F.col("is_slot").desc(), F.col("id"), F.col("number")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "is_slot", "id", "length")
-    swept = materialize(ranged.mapInPandas(_sweep, SWEPT), "swept")
-    alone = swept.where("mate IS NULL")
-    counts = alone.groupBy("part").agg(F.sum(F.when(F.col("is_slot"), 0).otherwise(1)), F.sum(F.when(F.col("is_slot"), 1).otherwise(0)))
-    borrowed, opened, rank = match_leftovers([tuple(r) for r in counts.collect()])
-
-    placed = swept.where("mate IS NOT NULL").select("id", "length", F.col("mate").alias("gap"))
-    left = alone.where("NOT is_slot").select("part", "id", "length", "place")
+    swept = _written(ranged.mapInPandas(_sweep, SWEPT), "swept", count + next_gap)
+    counts = swept.where(F.col("kind") == COUNTS).select("part", "id", "mate").collect()
+    borrowed, opened, rank = match_leftovers([tuple(r) for r in counts])
+
+    pieces_swept = swept.where(F.col("kind") == PIECE)
+    opens = F.lit(False).alias("opens")
+    placed = pieces_swept.where("mate IS NOT NULL").select("id", "length", F.col("mate").alias("gap"), opens)
+    left = pieces_swept.where("mate IS NULL").select("part", "id", "length", "place")
     if borrowed:
         lent = F.broadcast(spark.createDataFrame(borrowed, "part int, first long, last long, lender int, slots long"))
         taken = left.join(lent, "part").where("place >= first AND place < last")
         wanted = taken.select("id", "length", F.col("lender").alias("part"), (F.col("slots") - 1 - (F.col("place") - F.col("first"))).alias("place"))
-        lenders = alone.where("is_slot").select("part", "place", F.col("id").alias("gap"))
-        placed = placed.unionByName(wanted.join(lenders, ["part", "place"]).select("id", "length", "gap"))
+        lenders = swept.where(F.col("kind") == SLOT).select("part", "place", F.col("id").alias("gap"))
+        placed = placed.unionByName(wanted.join(lenders, ["part", "place"]).select("id", "length", "gap", opens))
     if opened:
         fit = capacity // up_to
         starts = F.broadcast(spark.createDataFrame(opened, "part int, first long, rank long"))
-        fresh = left.join(starts, "part").where("place >= first")
-        number = F.floor((F.col("rank") + F.col("place") - F.col("first")) / fit) + next_gap
-        placed = placed.unionByName(fresh.select("id", "length", number.alias("gap")))
+        number = F.col("rank") + F.col("place") - F.col("first")
+        fresh = left.join(starts, "part").where("place >= first").withColumn("number", number)
+        placed = placed.unionByName(fresh.select("id", "length", (F.floor(F.col("number") / fit) + next_gap).alias("gap"), (F.col("number") % fit == 0).alias("opens")))
         next_gap += -(-rank // fit)
-    return materialize(placed, "placed"), next_gap
+    return _written(placed, "placed", count), next_gap
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -270,18 +283,18 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     ranges = classes(capacity)
     which = F.coalesce(*[F.when(F.col("length") > above, F.lit(k)) for k, (above, _) in enumerate(ranges)])
-    present = {r[0] for r in pieces.select(which.alias("class")).distinct().collect()}
+    counts = {r[0]: r[1] for r in pieces.groupBy(which.alias("class")).count().collect()}
     gaps = spark.createDataFrame([], "gap long, free int")
     placed, next_gap = spark.createDataFrame([], "id long, length int, gap long"), 0
     for k, (above, up_to) in enumerate(ranges):
-        if k not in present:
+        if k not in counts:
             continue
         own = pieces.where((F.col("length") > above) & (F.col("length") <= up_to))
-        here, next_gap = place_class(own, gaps, above, up_to, capacity, next_gap)
-        placed = placed.unionByName(here)
-        used = here.groupBy("gap").agg(F.sum("length").alias("used"))
-        room = (F.coalesce("free", F.lit(capacity)) - F.coalesce("used", F.lit(0))).cast("int")
-        gaps = materialize(gaps.join(used, "gap", "full_outer").select("gap", room.alias("free")).where("free > 0"), "gaps")
+        here, next_gap = place_class(own, counts[k], gaps, above, up_to, capacity, next_gap)
+        placed = placed.unionByName(here.drop("opens"))
+        change = F.when(F.col("opens"), F.lit(capacity)).otherwise(0) - F.col("length")
+        changes = gaps.unionByName(here.select("gap", change.alias("free")))
+        gaps = _written(changes.groupBy("gap").agg(F.sum("free").cast("int").alias("free")).where("free > 0"), "gaps", next_gap)
     return placed
 
 
