@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commsim.llm import decontamination, mixing, near_copies, secrets, toxicity
+from commsim.llm import decontamination, mixing, secrets, simhash, toxicity
 from commsim.session import materialize
 
 
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
-    return near_copies.keep_first(docs)
+    """Keeps the document with the smallest id of each group of fingerprints of three-word shingles linked by two or fewer bits."""
+    return simhash.keep_first(docs, radius=simhash.RADIUS, words=simhash.WORDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
