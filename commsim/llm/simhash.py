@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commsim.llm.columns import spare
 from commsim.llm.components import components
 from commsim.session import materialize
 
@@ -235,12 +236,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     return found.select("doc_id", "print", own.alias("component_id"))
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """The documents of ``docs`` without those whose near-duplicates include a smaller id; null ids stay."""
-    found = near_duplicates(docs, radius)
-    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    found = near_duplicates(docs, radius, words)
+    dropped = spare(docs, "dropped")
+    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias(dropped)).distinct()
     extra = materialize(extra, "near_copies")
-    return docs.join(extra, docs["doc_id"] == extra["__dropped"], "left_anti")
+    return docs.join(extra, docs["doc_id"] == extra[dropped], "left_anti")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

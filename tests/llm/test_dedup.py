@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from commsim.llm import embeddings, simhash, substrings
 from commsim.llm.components import components
 
@@ -155,3 +156,19 @@ def test_repeated_windows_equal_brute_force(spark):
         got = [tuple(r) for r in substrings.remove_repeats(frame, length).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
         assert sorted(got, key=str) == sorted(repeats(docs, length), key=str)
     assert substrings.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_the_first_of_each_group(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.choice((3, 60, 300)))) for _ in range(40)]
+    texts += [t.upper() for t in texts[:10]] + [t + " end" for t in texts[:25]] + [None, "", " "]
+    prints = [simhash.fingerprint_of(t) & (1 << 64) - 1 for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    least = smallest_reachable(range(len(texts)), links)
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dropped", F.lit(1))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [i for i, _ in rows if i is None or least.get(i, i) == i]
+    assert len(want) < len(rows) - 10
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
