@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from commsim.functions import strings as fn
 from commsim.operators.index import DenseIndex
-from commsim.operators.names import common_of, name_substrings
+from commsim.operators.names import common_substrings, name_substrings
 from commsim.operators.pairs import directed_pairs, with_ordinals
 from commsim.session import materialize, small
 
@@ -99,22 +99,27 @@ def mention_scores(mentioned: DataFrame, names: DenseIndex, co_mention: bool = F
     return direct.unionByName(single).where("i <> j").groupBy("i", "j").agg(last.alias("mention"))
 
 
-def affix_scores(affixes: DataFrame, names: DenseIndex, words: DataFrame, any_affix: bool = False) -> DataFrame:
+def affix_scores(
+    affixes: DataFrame, names: DenseIndex, words: DataFrame, any_affix: bool = False, pairs: DataFrame | None = None
+) -> DataFrame:
     """``(i, j, affix)``: 1 if the other name contains the target's last affix, .5 if the names' common substring is a word.
 
     With ``any_affix`` every affix of the target counts. ``affixes`` are edges ``(name, affix)``, ``words`` is a
-    written one-column table ``word`` of distinct words.
+    written one-column table ``word`` of distinct words. ``pairs`` are the requested ``(i, j)``, all of the list by default; they
+    come before every look-up, so a word or an affix in very many names gives rows for requested pairs alone.
     """
+    wanted = (directed_pairs(names) if pairs is None else pairs).select("i", "j")
     own = with_ordinals(affixes.select("name", "affix"), names, "name").select(F.col("ord").alias("i"), F.col("affix").alias("sub"))
     deciding = own.distinct() if any_affix else own.groupBy("i").agg(F.max("sub").alias("sub"))
-    parts = materialize(name_substrings(names.frame, F.col("community"), "ord"), "substrings")
-    long = parts.where(F.length("sub") >= MIN_SHARED_AFFIX).select(F.col("ord").alias("j"), "sub").distinct()
-    hits = deciding.join(long, "sub").where("i <> j").select("i", "j").distinct().withColumn("score", F.lit(1.0))
+    parts = materialize(name_substrings(names.frame, F.col("community"), "ord").select("ord", "sub").distinct(), "substrings")
+    held = parts.select(F.col("ord").alias("j"), "sub")
+    long = deciding.where(F.length("sub") >= MIN_SHARED_AFFIX)
+    hits = wanted.join(long, "i").join(held, ["j", "sub"]).select("i", "j").distinct().withColumn("score", F.lit(1.0))
     # Only pairs that share a word at all can have a word as their longest common substring.
-    worded = materialize(parts.join(small(words.select(F.col("word").alias("sub"))), "sub").select("ord", "sub").distinct(), "worded")
-    sharing = worded.select(F.col("ord").alias("j"), "sub").join(worded.select(F.col("ord").alias("i"), "sub"), "sub")
-    candidates = materialize(sharing.where("i <> j").select("i", "j").distinct(), "candidates")
-    common = common_of(parts, candidates)
+    worded = materialize(parts.join(small(words.select(F.col("word").alias("sub"))), "sub"), "worded")
+    sharing = wanted.join(worded.withColumnRenamed("ord", "i"), "i").join(worded.withColumnRenamed("ord", "j"), ["j", "sub"])
+    candidates = materialize(sharing.select("i", "j").distinct(), "candidates")
+    common = common_substrings(names, candidates)
     known = common.join(small(words.select(F.col("word").alias("lcs"))), "lcs").select("i", "j", F.lit(0.5).alias("score"))
     return hits.unionByName(known).groupBy("i", "j").agg(F.max("score").alias("affix"))
 
@@ -141,7 +146,7 @@ def meta_scores(
     """Directed score of each requested pair: ``(i, j, s1, s2, affix, mention, moderator, score)``."""
     scored = on_pairs(
         names,
-        affix_scores(affixes, names, words, any_affix),
+        affix_scores(affixes, names, words, any_affix, pairs),
         mention_scores(mentioned, names, co_mention),
         moderator_scores(mods, names, set_overlap),
         pairs=pairs,

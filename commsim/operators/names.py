@@ -1,9 +1,12 @@
 """Common substrings of names, affix mining and affix tagging.
 
+Only substrings that go on differently, to the right and to the left, in two places can be the longest common one of two
+names. They come from the names' sorted suffixes (:mod:`commsim.operators.suffixes`), so a name has rows in proportion to its length.
+
 Mining needs the longest common substring of every ordered pair of names, but only how often each
-string is one. So names get dense ordinals and, as for overlaps, 64 share a bit mask: for each substring
+string is one. So names get dense ordinals and, as for overlaps, 64 share a bit mask: for each such substring
 of a name, longest first, the mask of names that contain it minus the names settled by a longer one gives
-the pairs it decides. No pair of names becomes a row. Substrings that a longer one replaces everywhere go before the join.
+the pairs it decides. No pair of names becomes a row.
 """
 
 from __future__ import annotations
@@ -14,62 +17,53 @@ from pyspark.sql import functions as F
 from commsim.functions.strings import substrings
 from commsim.operators.index import DenseIndex
 from commsim.operators.pairs import TILE, community_index, directed_pairs, tile, tile_mask
+from commsim.operators.suffixes import branching_substrings
 from commsim.session import materialize, small
 
 MIN_AFFIX = 4
 
 
 def name_substrings(names: DataFrame, name: Column, *keys: str, min_length: int = 1) -> DataFrame:
-    """``keys`` with ``start``, ``sub`` and the characters ``before`` and ``after`` it of each substring of each name.
-
-    Names are short by nature. The characters are empty at the ends of a name.
-    """
-    parts = names.select(*keys, name.alias("whole"), F.explode_outer(substrings(name, min_length)).alias("part"))
-    start, sub = F.col("part.start"), F.col("part.sub")
-    before = F.when(start > 0, F.substr("whole", start, F.lit(1))).otherwise("")
-    after = F.substr("whole", start + F.length(sub) + 1, F.lit(1))
-    return parts.where(F.col("part").isNotNull()).select(*keys, start.alias("start"), sub.alias("sub"), before.alias("before"), after.alias("after"))
+    """``keys`` with ``start`` and ``sub`` of each substring of each name, for exact look-ups of short names."""
+    parts = names.select(*keys, F.explode_outer(substrings(name, min_length)).alias("part"))
+    return parts.where(F.col("part").isNotNull()).select(*keys, F.col("part.start").alias("start"), F.col("part.sub").alias("sub"))
 
 
-def divergent(parts: DataFrame, owner: str = "ord") -> DataFrame:
-    """The substrings that can be the longest common one of two names: ``parts`` of more than one name that differ before and after.
+def divergent(names: DataFrame, name: Column, min_length: int = 1) -> DataFrame:
+    """``(ord, start, sub)``: the substrings that can be the longest common one of two names, written.
 
     If all places of a substring go on with the same character, on either side, the longer string stands at the same
-    offsets in the same names and is preferred for every pair.
+    offsets in the same names and is preferred for every pair. Such a substring has no row, nor has one of a single name.
     """
+    parts = materialize(branching_substrings(names, name, "ord", min_length=min_length), "branching")
     ends = parts.groupBy("sub").agg(
-        (F.min("before") < F.max("before")).alias("left"),
-        (F.min("after") < F.max("after")).alias("right"),
-        F.min("before").alias("first"),
-        F.min("after").alias("last"),
-        (F.min(owner) < F.max(owner)).alias("shared"),
+        (F.min("before") < F.max("before")).alias("left"), F.min("before").alias("first"), (F.min("ord") < F.max("ord")).alias("shared")
     )
-    kept = ends.where("shared AND (left OR first = '') AND (right OR last = '')").select("sub")
-    return parts.join(materialize(kept, "divergent"), "sub")
+    kept = materialize(ends.where("shared AND (left OR first = '')").select("sub"), "divergent")
+    return materialize(parts.join(kept, "sub").select("ord", "start", "sub"), "substrings")
 
 
-def common_of(parts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """``(i, j, lcs)``: the longest common substring of names ``i`` and ``j`` by :func:`name_substrings` keyed by ``ord``.
+def common_substrings(names: DenseIndex, pairs: DataFrame | None = None) -> DataFrame:
+    """``(i, j, lcs)``: the longest common substring of the names of ordinals ``i`` and ``j``.
 
     A substring of name ``i`` counts if it stands in name ``j`` at the same or a later offset. Ties go to the
-    smallest shift, then to the smallest offset in ``i``. ``pairs`` limits the pairs; pairs without one have no row.
+    smallest shift, then to the smallest offset in ``i``. ``pairs`` are the requested ``(i, j)``, all by default; pairs
+    without a common substring have no row.
     """
-    parts = materialize(divergent(parts).select("ord", "start", "sub"), "substrings")
+    parts = divergent(names.frame, F.col("community"))
     second = parts.select(F.col("ord").alias("i"), "start", "sub")
-    if pairs is None:
-        matches = second.join(parts.select(F.col("ord").alias("j"), F.col("start").alias("at"), "sub"), "sub").where("i <> j")
-    else:
-        first = pairs.join(parts.select(F.col("ord").alias("j"), F.col("start").alias("at"), "sub"), "j")
-        matches = first.join(second, ["i", "sub"])
+    wanted = directed_pairs(names).select("i", "j") if pairs is None else pairs.select("i", "j")
+    first = wanted.join(parts.select(F.col("ord").alias("j"), F.col("start").alias("at"), "sub"), "j")
     best = F.struct(F.length("sub"), F.col("start") - F.col("at"), -F.col("start"))
-    return matches.where("at >= start").groupBy("i", "j").agg(F.max_by("sub", best).alias("lcs"))
+    return first.join(second, ["i", "sub"]).where("at >= start").groupBy("i", "j").agg(F.max_by("sub", best).alias("lcs"))
 
 
-def name_lcs(names: DenseIndex) -> DataFrame:
-    """The longest common substring of each ordered pair of listed names: ``(s1, s2, lcs)``."""
-    parts = materialize(name_substrings(names.frame, F.col("community"), "ord"), "substrings")
-    common = common_of(parts).select(F.col("j").alias("i"), F.col("i").alias("j"), "lcs")
-    return directed_pairs(names).join(common, ["i", "j"], "left").select("s1", "s2", F.coalesce("lcs", F.lit("")).alias("lcs"))
+def name_lcs(names: DenseIndex, pairs: DataFrame | None = None) -> DataFrame:
+    """The longest common substring ``(s1, s2, lcs)`` of each requested pair ``(i, j, s1, s2)``, by default of each ordered pair of the list."""
+    wanted = directed_pairs(names) if pairs is None else pairs
+    common = common_substrings(names, wanted.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    turned = common.select(F.col("j").alias("i"), F.col("i").alias("j"), "lcs")
+    return wanted.join(turned, ["i", "j"], "left").select("s1", "s2", F.coalesce("lcs", F.lit("")).alias("lcs"))
 
 
 def affix_edges(names: DataFrame, affixes: DataFrame, name: str = "name", ignore_case: bool = False) -> DataFrame:
@@ -86,10 +80,9 @@ def affix_edges(names: DataFrame, affixes: DataFrame, name: str = "name", ignore
 def lcs_counts(names: DenseIndex, name: Column, min_length: int = MIN_AFFIX) -> DataFrame:
     """How many ordered pairs of different names have ``lcs`` as their longest common substring.
 
-    Counts strings of at least ``min_length``; see :func:`common_of` for the offset rule and ties.
+    Counts strings of at least ``min_length``; see :func:`common_substrings` for the offset rule and ties.
     """
-    parts = materialize(name_substrings(names.frame, name, "ord", min_length=min_length), "substrings")
-    parts = materialize(divergent(parts).select("ord", "start", "sub"), "substrings")
+    parts = divergent(names.frame, name, min_length)
     holders = parts.groupBy("sub", F.col("start").alias("at"), tile(F.col("ord")).alias("tile")).agg(
         tile_mask(F.col("ord")).alias("mask")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from commsim import session, sources
 from commsim.functions import text as text_fn
-from commsim.operators import baskets, filters, fuse, index, meta, names, pairs
+from commsim.operators import baskets, filters, fuse, index, meta, names, pairs, suffixes
 from commsim.operators import text as text_ops
 from commsim.plans import pipelines
 
@@ -95,6 +95,35 @@ def test_longest_common_substrings(spark):
     assert got == {(a, b): common(a, b) for a, b in permutations(words, 2)}
 
 
+@pytest.mark.parametrize("min_length", [1, 4])
+def test_branching_substrings_over_many_ranges(spark, min_length):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) + rng.choice(["", "news", "new"]) for _ in range(120)] + ["aaaa"] * 3
+    rows = [(i, w) for i, w in enumerate(words)]
+    places: dict[str, list] = {}
+    for i, w in rows:
+        for s in range(len(w)):
+            for e in range(s + min_length, len(w) + 1):
+                places.setdefault(w[s:e], []).append((i, s, w[s - 1 : s] if s else "", w[e : e + 1]))
+    want = {(i, s, sub, b) for sub, ps in places.items() if len(ps) > 1 and (len({p[3] for p in ps}) > 1 or "" in {p[3] for p in ps}) for i, s, b, _ in ps}
+    frame = spark.createDataFrame(rows, "ord long, name string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = suffixes.branching_substrings(frame, F.col("name"), "ord", min_length=min_length).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert suffixes.branching_substrings(frame.limit(0), F.col("name"), "ord").count() == 0
+
+
+def test_requested_pairs_of_names(spark):
+    given = listed(spark, ["xabc", "abc", "worldnews", "news"])
+    wanted = pairs.directed_pairs(given).where("(s1 = 'xabc' AND s2 = 'abc') OR (s1 = 'news' AND s2 = 'worldnews')")
+    assert sorted(map(tuple, names.name_lcs(given, wanted).collect())) == [("news", "worldnews", "w"), ("xabc", "abc", "abc")]
+
+
 def test_mining_counts_every_ordered_pair(spark):
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(4, 14))) + rng.choice(["pics", "porn", "news"]) for _ in range(90)})
