@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +101,15 @@ def dense_blocks(vectors: DataFrame, size: int, block: int = 4096, community: st
     base = F.col("block") * block
     length = F.least(F.lit(block), F.lit(size) - base).cast("int")
     return vectors.select(community, "block", length.alias("length"), F.transform("indices", lambda i: (i - base).cast("int")).alias("local"))
+
+
+def ml_vectors(vectors: DataFrame, size: int, block: int = 4096, community: str = "subreddit", column: str = "vector") -> DataFrame:
+    """The blocks of :func:`community_vectors` as ML sparse vectors of ``block`` dimensions: ``(community, block, length, vector)``.
+
+    A fitted-by-hand count vectorizer over the dimensions' numbers builds them inside the JVM; entries are 1, and dimensions from
+    ``length`` on are empty in the last block.
+    """
+    local = dense_blocks(vectors, size, block, community)
+    named = local.withColumn("local", F.transform("local", lambda i: i.cast("string")))
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(block)], "local", column)
+    return model.setBinary(True).transform(named).select(community, "block", "length", column)

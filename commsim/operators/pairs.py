@@ -6,6 +6,8 @@ Overlaps are counted for all pairs in one job. Communities get dense ordinals, 6
 and every feature is reduced to one 64-bit mask per tile. A feature with any number of rows is thereby at
 most one small row per tile after map-side combining. Features with equal masks then merge into one
 weighted row, and only these rows, never the members of a feature's group, are unfolded to pair counts.
+Features in many tiles are turned around: 64 of them become the bits of one word for each community, and the words of two tiles give
+all their pairs' counts at once. So no row is unfolded to more than the pairs of two tiles.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from commsim.session import materialize
 
 TILE = 64
 PAIRS_PER_TASK = 4_000_000
+HEAVY_TILES = 8
 
 
 def community_index(names: DataFrame, name: str = "subreddit", order: str | None = None) -> DenseIndex:
@@ -79,21 +82,28 @@ def ordinals(part: Column) -> Column:
     return F.transform(bits, lambda b: part["tile"].cast("long") * TILE + b)
 
 
+def _tile_masks(edges: DataFrame, feature: str) -> DataFrame:
+    return (
+        edges.where(F.col(feature).isNotNull())
+        .groupBy(feature, tile(F.col("ord")).alias("tile"))
+        .agg(tile_mask(F.col("ord")).alias("mask"))
+    )
+
+
+def _collected(masks: DataFrame, feature: str) -> DataFrame:
+    return masks.groupBy(feature).agg(F.sort_array(F.collect_list(F.struct("tile", "mask"))).alias("parts"))
+
+
 def memberships(edges: DataFrame, size: int, feature: str) -> DataFrame:
     """Each feature with its communities as an array of ``{tile, mask}`` structs, one per tile: ``(feature, parts)``.
 
     ``edges`` has ``ord`` (see :func:`with_ordinals`) and ``feature``, with or without repeats. ``size``
     is the number of communities.
     """
-    masks = (
-        edges.where(F.col(feature).isNotNull())
-        .groupBy(feature, tile(F.col("ord")).alias("tile"))
-        .agg(tile_mask(F.col("ord")).alias("mask"))
-    )
-    part = F.struct("tile", "mask")
+    masks = _tile_masks(edges, feature)
     if size <= TILE:
-        return masks.select(feature, F.array(part).alias("parts"))
-    return masks.groupBy(feature).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+        return masks.select(feature, F.array(F.struct("tile", "mask")).alias("parts"))
+    return _collected(masks, feature)
 
 
 def member_rows(features: DataFrame, *keys: str) -> DataFrame:
@@ -102,23 +112,63 @@ def member_rows(features: DataFrame, *keys: str) -> DataFrame:
     return parts.select(*keys, F.explode_outer(ordinals(F.col("part"))).alias("ord"))
 
 
-def overlaps(edges: DataFrame, size: int, feature: str) -> DataFrame:
+def overlaps(edges: DataFrame, size: int, feature: str, heavy_tiles: int = HEAVY_TILES) -> DataFrame:
     """Numbers of shared features ``(i, j, common)`` for all ``i <= j`` that share one; ``i = j`` is a community's own number.
 
-    Arguments as for :func:`memberships`.
+    Arguments as for :func:`memberships`. Features in more than ``heavy_tiles`` tiles are counted by :func:`heavy_overlaps`; the
+    bound chooses between ways and does not change results.
     """
-    weighted = memberships(edges, size, feature).groupBy("parts").agg(F.count("*").alias("weight"))
     if size <= TILE:
+        weighted = memberships(edges, size, feature).groupBy("parts").agg(F.count("*").alias("weight"))
         blocks = weighted.select(F.col("parts")[0].alias("a"), F.col("parts")[0].alias("b"), "weight")
-    else:
-        firsts = weighted.select(F.explode_outer("parts").alias("a"), "parts", "weight")
-        later = F.filter("parts", lambda p: p["tile"] >= F.col("a.tile"))
-        blocks = firsts.select("a", F.explode_outer(later).alias("b"), "weight")
-        blocks = blocks.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+        return _unfolded(blocks)
+    if size <= TILE * heavy_tiles:
+        return _unfolded(_tile_blocks(memberships(edges, size, feature)))
+    masks = materialize(_tile_masks(edges, feature), "masks")
+    spread = masks.groupBy(feature).agg(F.count("*").alias("tiles")).where(F.col("tiles") > heavy_tiles)
+    heavy = number_rows(spread.select(feature), feature, "number")
+    if not heavy.size:
+        return _unfolded(_tile_blocks(_collected(masks, feature)))
+    light = masks.join(heavy.bounded(heavy.frame.select(feature)), feature, "left_anti")
+    cells = _unfolded(_tile_blocks(_collected(light, feature)), summed=False)
+    turned = heavy_overlaps(masks.join(heavy.bounded(heavy.frame), feature).select("number", "tile", "mask"), size)
+    return cells.unionByName(turned).groupBy("i", "j").agg(F.sum("weight").alias("common"))
+
+
+def _tile_blocks(features: DataFrame) -> DataFrame:
+    """The weighted pairs ``(a, b, weight)`` of tiles, ``a`` not after ``b``, of features with ``parts``."""
+    weighted = features.groupBy("parts").agg(F.count("*").alias("weight"))
+    firsts = weighted.select(F.explode_outer("parts").alias("a"), "parts", "weight")
+    later = F.filter("parts", lambda p: p["tile"] >= F.col("a.tile"))
+    blocks = firsts.select("a", F.explode_outer(later).alias("b"), "weight")
+    return blocks.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def _unfolded(blocks: DataFrame, summed: bool = True) -> DataFrame:
     members = blocks.select(ordinals(F.col("a")).alias("in_a"), ordinals(F.col("b")).alias("in_b"), "weight")
     rows = members.select(F.explode_outer("in_a").alias("i"), "in_b", "weight")
     cells = rows.select("i", F.explode_outer("in_b").alias("j"), "weight").where("i <= j")
-    return cells.groupBy("i", "j").agg(F.sum("weight").alias("common"))
+    return cells.groupBy("i", "j").agg(F.sum("weight").alias("common")) if summed else cells
+
+
+def heavy_overlaps(masks: DataFrame, size: int) -> DataFrame:
+    """Shares ``(i, j, weight)``, ``i <= j``, of what communities have in common among numbered features: ``masks`` has ``(number, tile, mask)``.
+
+    64 features are the bits of one word for each community, and the 64 words of a tile are one row. A row meets those of the
+    tiles not before it, one by one, and each meeting gives the pairs of two tiles by counting the bits of their words' intersections.
+    """
+    tiles = -(-size // TILE)
+    chunk, bit = F.floor(F.col("number") / TILE), (F.col("number") % TILE).cast("int")
+    members = masks.select("number", F.explode(ordinals(F.struct("tile", "mask"))).alias("ord"))
+    words = members.groupBy(chunk.alias("chunk"), "ord").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("word"))
+    rows = words.groupBy("chunk", tile(F.col("ord")).alias("tile")).agg(F.collect_list(F.struct("ord", "word")).alias("words"))
+    rows = materialize(rows, "words")
+    first = rows.select("chunk", F.col("words").alias("a"), F.explode(F.sequence("tile", F.lit(tiles - 1))).alias("tile"))
+    met = first.join(rows.withColumnRenamed("words", "b"), ["chunk", "tile"])
+    left = met.select(F.explode("a").alias("x"), "b")
+    common = left.select(F.col("x.ord").alias("i"), F.explode(F.transform("b", lambda y: F.struct(y["ord"].alias("j"), F.bit_count(y["word"].bitwiseAND(F.col("x.word"))).cast("long").alias("weight")))).alias("y"))
+    cells = common.select("i", "y.j", "y.weight").where("i <= j AND weight > 0")
+    return cells.groupBy("i", "j").agg(F.sum("weight").alias("weight"))
 
 
 def pair_overlaps(edges: DataFrame, communities: DenseIndex, feature: str, community: str = "subreddit") -> DataFrame:

@@ -9,9 +9,11 @@ from commsim.plans.queries import (
     ITEM_SUPPORT,
     JOINED_SOURCES,
     LISTED_BRANDS,
+    LISTED_PARTS,
     LISTED_SOURCES,
     ONE_SOURCE,
     PAIR_SUPPORT,
+    SET_SHARE,
     TEN_SOURCES,
     VECTOR_BLOCK,
 )
@@ -278,6 +280,25 @@ FUSED = f"""
         LEFT JOIN (SELECT s1, s2, {META_TOTAL} AS score FROM meta) m ON m.s1 = g.s2 AND m.s2 = g.s1) p"""
 
 
+def _listed_pairs(pairs: str) -> str:
+    return f"SELECT * FROM ({pairs}) WHERE s1 IN ({_quoted(LISTED_PARTS)}) AND s2 IN ({_quoted(LISTED_PARTS)})"
+
+
+ITEMSETS = f"""
+    SELECT 1 AS size, item AS items, freq FROM frequent
+    UNION ALL SELECT 2, a || '|' || b, freq FROM two
+    UNION ALL SELECT 3, a.subreddit || '|' || b.subreddit || '|' || c.subreddit, count(*) FROM basket_edges a
+        JOIN basket_edges b ON a.author = b.author AND a.subreddit < b.subreddit
+        JOIN basket_edges c ON b.author = c.author AND b.subreddit < c.subreddit
+        GROUP BY a.subreddit, b.subreddit, c.subreddit HAVING count(*) >= (SELECT n FROM support)"""
+ITEMSET_LEVELS = (
+    f"support AS (SELECT greatest(1, ceil(count(*) * {SET_SHARE}e0)) AS n FROM customer)",
+    "frequent AS (SELECT subreddit AS item, count(*) AS freq FROM basket_edges GROUP BY 1 HAVING count(*) >= (SELECT n FROM support))",
+    """two AS (SELECT x.subreddit AS a, y.subreddit AS b, count(*) AS freq FROM basket_edges x JOIN basket_edges y
+        ON x.author = y.author AND x.subreddit < y.subreddit GROUP BY 1, 2 HAVING count(*) >= (SELECT n FROM support))""",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     affix_lcs = ("words AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS word FROM part_names)", *_lcs("lcs", "part_names", "name", 1))
     baskets = (PURCHASES, BASKET_EDGES)
@@ -290,6 +311,19 @@ def oracle_sql() -> dict[str, str]:
     posts = (EVENT_POSTS, POSTS)
     gram_counts = _pair_counts("gram", "edges", "ngram")
     author_counts = _pair_counts("author", "posts", "author")
+    fused = _with(
+        f"""SELECT s1, s2, round(text, 6) AS text, round("user", 6) AS "user", round(meta, 6) AS meta, round(total, 6) AS total
+        FROM ({FUSED})""",
+        SOURCE_ORDS,
+        *TEXT,
+        *posts,
+        *gram_counts,
+        *author_counts,
+        *_pair_counts("basket", "(SELECT * FROM posts WHERE author <> '[deleted]')", "author"),
+        _user_pairs("user_pairs"),
+        *SOURCE_METADATA,
+        f"meta AS ({META})",
+    )
     return {
         "json_roundtrip": _with("SELECT subreddit, title, author FROM posts", *posts),
         "parquet_roundtrip": _with(
@@ -342,6 +376,16 @@ def oracle_sql() -> dict[str, str]:
             NGRAM_IDS,
             COMPONENTS,
         ),
+        "vector_norms": _with(
+            f"""SELECT subreddit, "index" // {VECTOR_BLOCK} AS block, min(length) AS length, count(*) AS entries,
+                round(1 / sqrt(count(*)), 6) AS scaled
+            FROM (SELECT e.subreddit, i."index", least({VECTOR_BLOCK}, (SELECT count(*) FROM users) - i."index" // {VECTOR_BLOCK} * {VECTOR_BLOCK}) AS length
+                FROM (SELECT DISTINCT subreddit, author FROM purchases WHERE author IS NOT NULL) e JOIN users i ON e.author = i.author)
+            GROUP BY 1, 2""",
+            PURCHASES,
+            """users AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS "index" FROM (
+                SELECT DISTINCT author FROM purchases WHERE author IS NOT NULL))""",
+        ),
         "pair_spine": _with("SELECT x.o AS i, y.o AS j, x.s AS s1, y.s AS s2 FROM ords x JOIN ords y ON x.o < y.o", SOURCE_ORDS),
         "directed_pairs": _with(
             "SELECT x.o AS i, y.o AS j, x.s AS s1, y.s AS s2 FROM ords x JOIN ords y ON x.o <> y.o", SOURCE_ORDS
@@ -377,6 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_support_threshold": _with(
             f"SELECT s1, s2, freq FROM user_pairs WHERE freq >= {PAIR_SUPPORT} AND n1 >= {PAIR_SUPPORT} AND n2 >= {PAIR_SUPPORT}", *BASKET_PAIRS
         ),
+        "frequent_itemsets": _with(ITEMSETS, *baskets, *ITEMSET_LEVELS),
         "assoc_rules": _with(
             """SELECT s1 AS antecedent, s2 AS consequent, round(freq / CAST(n1 AS DOUBLE), 6) AS confidence, freq FROM user_pairs
             UNION ALL SELECT s2, s1, round(freq / CAST(n2 AS DOUBLE), 6), freq FROM user_pairs""",
@@ -385,7 +430,8 @@ def oracle_sql() -> dict[str, str]:
         "user_cosine": _with(cosine, *BASKET_PAIRS),
         "name_lcs": _with(
             """SELECT x.name AS s1, y.name AS s2, coalesce(l.lcs, '') AS lcs FROM part_names x
-            JOIN part_names y ON x.name <> y.name LEFT JOIN lcs l ON l.a = x.name AND l.b = y.name""",
+            JOIN part_names y ON x.name <> y.name LEFT JOIN lcs l ON l.a = x.name AND l.b = y.name
+            WHERE x.name IN ({LISTED}) AND y.name IN ({LISTED})""".format(LISTED=_quoted(LISTED_PARTS)),
             PART_NAMES,
             *_lcs("lcs", "part_names", "name", 1),
         ),
@@ -400,8 +446,8 @@ def oracle_sql() -> dict[str, str]:
         "mention_list": _with("SELECT name, mentions FROM mention_lists", *NATION_LISTS),
         "mod_list": _with("SELECT name, mods FROM mod_lists", *NATION_LISTS),
         "meta_dataset": _with(csv, *NATION_METADATA),
-        "affix_similarity": _with(_meta_pairs(f"{_affix(LAST_AFFIX)} AS score", "tagged"), *PART_AFFIXES, *affix_lcs),
-        "affix_similarity_any": _with(_meta_pairs(f"{_affix(ANY_AFFIX)} AS score", "tagged"), *PART_AFFIXES, *affix_lcs),
+        "affix_similarity": _with(_listed_pairs(_meta_pairs(f"{_affix(LAST_AFFIX)} AS score", "tagged")), *PART_AFFIXES, *affix_lcs),
+        "affix_similarity_any": _with(_listed_pairs(_meta_pairs(f"{_affix(ANY_AFFIX)} AS score", "tagged")), *PART_AFFIXES, *affix_lcs),
         "mod_similarity": _with(
             f"""SELECT t.name AS s1, o.name AS s2, round({MODERATOR}, 6) AS score, round({MODERATOR_OVERLAP}, 6) AS overlap_score
             FROM metadata t JOIN metadata o ON t.name <> o.name""",
@@ -424,17 +470,6 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT least(s1, s2) AS a, greatest(s1, s2) AS b, score, ord FROM trades) GROUP BY a, b""",
             TRADES,
         ),
-        "fuse_scores": _with(
-            f"""SELECT s1, s2, round(text, 6) AS text, round("user", 6) AS "user", round(meta, 6) AS meta, round(total, 6) AS total
-            FROM ({FUSED})""",
-            SOURCE_ORDS,
-            *TEXT,
-            *posts,
-            *gram_counts,
-            *author_counts,
-            *_pair_counts("basket", "(SELECT * FROM posts WHERE author <> '[deleted]')", "author"),
-            _user_pairs("user_pairs"),
-            *SOURCE_METADATA,
-            f"meta AS ({META})",
-        ),
+        "fuse_scores": fused,
+        "fuse_score_files": fused,
     }

@@ -87,7 +87,8 @@ def fused_scores(
     n1, n2 = (sizes.select(F.col("i").alias(o), F.col("common").alias(n)) for o, n in (("i", "n1"), ("j", "n2")))
     product = (F.col("common") / F.col("n1")) * (F.col("common") / F.col("n2"))
     user = counts.where("i < j").join(n1, "i").join(n2, "j").select("i", "j", F.sqrt(product).alias("user_score"))
-    affix = meta.affix_scores(affixes, communities, words)
+    later = pairs.directed_pairs(communities).where("i > j")
+    affix = meta.affix_scores(affixes, communities, words, pairs=later)
     mention, moderator = meta.mention_scores(mentioned, communities), meta.moderator_scores(mods, communities)
     joined = text.join(user, ["i", "j"], "left")
     for score in (affix, mention, moderator):

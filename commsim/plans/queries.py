@@ -5,8 +5,11 @@ Results are flat: arrays become sorted strings, counts are bigint, scores are ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,9 @@ ALLOWED_BRANDS = [f"Brand#{k}" for k in range(1, 26) if k % 4]
 LISTED_BRANDS = [f"Brand#{k}" for k in range(25, 0, -1)]
 ITEM_SUPPORT = 1000
 PAIR_SUPPORT = 900
+SET_SHARE = 0.55
+SET_SIZE = 3
+LISTED_PARTS = [f"{a} {b}" for b in ("gizmo", "gear", "ring", "bolt", "rod") for a in ("small", "hot", "old", "cold", "large", "blue")]
 FIRST_ROWS = 10
 FIRST_PAGES = 8
 VECTOR_BLOCK = 1024
@@ -85,7 +91,7 @@ def basket_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metadata_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "metadata")
-    sources.write_metadata(tables.nation_metadata(spark, sf_dir), path)
+    sources.write_metadata(tables.nation_metadata(spark, sf_dir), path, order="place")
     return sources.read_metadata(spark, path, placed=True)
 
 
@@ -96,7 +102,7 @@ def meta_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def meta_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines of the metadata file, whose order is that of the nations' keys."""
+    """The first lines of a plain metadata file, in which the nations stand in the order of their keys."""
     return meta.first_rows(_metadata_file(spark, sf_dir), FIRST_ROWS)
 
 
@@ -245,6 +251,18 @@ def community_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("subreddit", "block", "size", _joined("indices", ",").alias("indices"))
 
 
+@_query
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector blocks as ML vectors, through an ML transformer: entries of each block, and their common value after scaling to length 1."""
+    edges = tables.purchases(spark, sf_dir).select("subreddit", F.col("author").alias("user")).where("user IS NOT NULL").distinct()
+    edges = materialize(edges, "edges")
+    users = index.dense_index(edges, "user")
+    blocks = index.community_vectors(index.components(edges, users, "user"), users.size, VECTOR_BLOCK)
+    scaled = Normalizer(p=2.0, inputCol="vector", outputCol="scaled").transform(index.ml_vectors(blocks, users.size, VECTOR_BLOCK))
+    entries = F.filter(vector_to_array("scaled"), lambda x: x > 0)
+    return scaled.select("subreddit", "block", F.col("length").cast("long").alias("length"), F.size(entries).cast("long").alias("entries"), _round(F.array_max(entries)).alias("scaled"))
+
+
 # Pairs of communities
 
 
@@ -374,6 +392,15 @@ def pair_support_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user_pairs(spark, sf_dir, PAIR_SUPPORT).select("s1", "s2", "freq")
 
 
+@_query
+def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of up to three brands that a given share of all customers order from."""
+    edges = baskets.author_edges(tables.purchases(spark, sf_dir))
+    customers = tables.table(spark, sf_dir, "customer").count()
+    found = baskets.frequent_itemsets(edges, max(1, math.ceil(customers * SET_SHARE)), SET_SIZE)
+    return found.select("size", _joined("items").alias("items"), "freq")
+
+
 @_query
 def assoc_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = baskets.association_rules(_user_pairs(spark, sf_dir))
@@ -390,7 +417,14 @@ def user_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def name_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.name_lcs(pairs.community_index(tables.part_names(spark, sf_dir), "name"))
+    return names.name_lcs(_listed_parts(spark, sf_dir))
+
+
+def _listed_parts(spark: SparkSession, sf_dir: str) -> index.DenseIndex:
+    """The caller's list of part names without those that no part has; at most as long as the list."""
+    found = filters.in_values(tables.part_names(spark, sf_dir).distinct(), "name", LISTED_PARTS).collect()
+    present = {r.name for r in found}
+    return tables.given_list(spark, [name for name in LISTED_PARTS if name in present])
 
 
 @_query
@@ -434,9 +468,10 @@ def meta_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _affix_scores(spark: SparkSession, sf_dir: str, any_affix: bool) -> DataFrame:
     listed = tables.part_names(spark, sf_dir).distinct()
     affixes = names.affix_edges(listed, tables.affix_list(spark, names.mine_affixes(tables.typed_part_names(spark, sf_dir))))
-    communities = pairs.community_index(listed, "name")
-    scored = meta.affix_scores(affixes, communities, tables.word_list(spark, listed), any_affix)
-    return meta.on_pairs(communities, scored).select("s1", "s2", F.col("affix").alias("score"))
+    communities = _listed_parts(spark, sf_dir)
+    wanted = materialize(pairs.directed_pairs(communities), "pairs")
+    scored = meta.affix_scores(affixes, communities, tables.word_list(spark, listed), any_affix, wanted)
+    return meta.on_pairs(communities, scored, pairs=wanted).select("s1", "s2", F.col("affix").alias("score"))
 
 
 @_query
@@ -492,13 +527,42 @@ def pair_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def fuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.written_events(spark, sf_dir)
     scores = pipelines.fused_scores(
         tables.texts(spark, sf_dir),
-        tables.posts(spark, sf_dir),
+        tables.posts_of(events),
         tables.source_affixes(spark, sf_dir),
-        tables.source_mods(spark, sf_dir),
-        tables.source_mentions(spark, sf_dir),
+        tables.source_mods(events),
+        tables.source_mentions(spark, sf_dir, events),
         tables.word_list(spark, tables.source_names(spark, sf_dir)),
         tables.given_list(spark, _present_sources(spark, sf_dir)),
     )
     return scores.select("s1", "s2", *[_round(c).alias(c) for c in ("text", "user", "meta", "total")])
+
+
+@_query
+def fuse_score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three reports written as files of one JSON array each, read back in their order and fused."""
+    events, communities = tables.written_events(spark, sf_dir), tables.given_list(spark, _present_sources(spark, sf_dir))
+    posts = tables.posts_of(events)
+    authors = pipelines.author_overlaps(posts, communities)
+    text = pipelines.text_scores(pipelines.ngram_overlaps(tables.texts(spark, sf_dir), communities), authors, communities)
+    user = pipelines.user_scores(posts, communities)
+    directed = meta.meta_scores(
+        tables.source_affixes(spark, sf_dir),
+        tables.source_mods(events),
+        tables.source_mentions(spark, sf_dir, events),
+        communities,
+        tables.word_list(spark, tables.source_names(spark, sf_dir)),
+    )
+    reports = (
+        (text.select("i", "j", "s1", "s2", "ngram", "user"), ("i", "j"), sources.TEXT_SCORES),
+        (user.select("s1", "s2", "score"), ("s1", "s2"), sources.SCORES),
+        (directed.select("i", "j", "s1", "s2", "score"), ("i", "j"), sources.SCORES),
+    )
+    read = []
+    for report, order, schema in reports:
+        path = shared_path(spark, "report")
+        sources.write_score_array(report, path, *order)
+        read.append(sources.read_score_arrays(spark, path, schema))
+    return fuse.fuse(communities, *read).select("s1", "s2", *[_round(c).alias(c) for c in ("text", "user", "meta", "total")])

@@ -37,9 +37,18 @@ def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(documents, "doc_id")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`event_posts`, written for pipelines that read them more than once."""
+    return materialize(event_posts(spark, sf_dir), "events")
+
+
+def posts_of(events: DataFrame) -> DataFrame:
     """Posts with authors: ``(subreddit, title, author)``, one for every event; titles are short."""
-    return event_posts(spark, sf_dir).select("subreddit", F.col("props").alias("title"), "author")
+    return events.select("subreddit", F.col("props").alias("title"), "author")
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts_of(event_posts(spark, sf_dir))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,15 +156,15 @@ def wiki_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_mods(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_mods(events: DataFrame) -> DataFrame:
     """Moderators ``(name, mod)`` of a source: the event types below its documents."""
-    return event_posts(spark, sf_dir).select(F.col("subreddit").alias("name"), F.col("event_type").alias("mod")).distinct()
+    return events.select(F.col("subreddit").alias("name"), F.col("event_type").alias("mod")).distinct()
 
 
-def source_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_mentions(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     """Mentions ``(name, mention)`` of a source: each event below its documents names a document by number, whose source is mentioned."""
     link = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-    linked = event_posts(spark, sf_dir).select(F.col("subreddit").alias("name"), link.alias("link")).distinct()
+    linked = events.select(F.col("subreddit").alias("name"), link.alias("link")).distinct()
     targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("link"), F.col("source").alias("mention"))
     return linked.join(targets, "link").select("name", "mention").distinct()
 

@@ -6,18 +6,21 @@ from commsim.sources.files import (
     POSTS,
     SCORES,
     TEXT_SCORES,
+    number_lines,
     read_baskets,
     read_json,
     read_lines,
     read_metadata,
     read_pair_scores,
     read_parquet,
+    read_score_arrays,
     read_words,
     write_baskets,
     write_json,
     write_lines,
     write_metadata,
     write_parquet,
+    write_score_array,
 )
 
 __all__ = [
@@ -26,16 +29,19 @@ __all__ = [
     "POSTS",
     "SCORES",
     "TEXT_SCORES",
+    "number_lines",
     "read_baskets",
     "read_json",
     "read_lines",
     "read_metadata",
     "read_pair_scores",
     "read_parquet",
+    "read_score_arrays",
     "read_words",
     "write_baskets",
     "write_json",
     "write_lines",
     "write_metadata",
     "write_parquet",
+    "write_score_array",
 ]

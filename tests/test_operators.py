@@ -208,21 +208,90 @@ def test_pipeline_takes_the_target_that_stands_behind(spark):
 
 def test_score_files_with_one_array(spark, tmp_path):
     rows = [{"s1": "a", "s2": "b", "ngram": 0.5, "user": 0.25}, {"s1": "b", "s2": "c", "ngram": 0.1, "user": 0.0}]
-    (tmp_path / "scores.json").write_text(json.dumps(rows, indent=4))
-    text = sources.read_pair_scores(spark, str(tmp_path / "scores.json"), sources.TEXT_SCORES, array_file=True).withColumn("ord", F.lit(0))
+    (tmp_path / "scores.json").write_text(json.dumps([*rows, {**rows[0], "ngram": 0.9}], indent=4))
+    text = sources.read_score_arrays(spark, str(tmp_path / "scores.json"), sources.TEXT_SCORES)
     other = spark.createDataFrame([], "s1 string, s2 string, score double, ord int")
     fused = {(r.s1, r.s2): r.total for r in fuse.fuse(listed(spark, "cba"), text, other, other).collect()}
     assert fused == {("b", "a"): pytest.approx(0.225), ("c", "b"): pytest.approx(0.03), ("c", "a"): 0.0}
 
 
+@pytest.mark.parametrize("n", [0, 1, 50])
+def test_score_arrays_keep_their_order(spark, tmp_path, n):
+    rows = [(i, f'"{i},\n', "é", i / 7) for i in range(n)]
+    frame = spark.createDataFrame(rows, "i long, s1 string, s2 string, score double").repartition(5)
+    sources.write_score_array(frame, f"{tmp_path}/out", "i")
+    (file,) = tmp_path.glob("out/part-*")
+    assert json.loads(file.read_text()) == [{"s1": a, "s2": b, "score": s} for _, a, b, s in rows]
+    got = sources.read_score_arrays(spark, f"{tmp_path}/out").orderBy("ord").collect()
+    assert [(r.ord, r.s1, r.s2, r.score) for r in got] == rows
+
+
 def test_first_lines_of_the_metadata_file(spark, tmp_path):
     metadata = spark.createDataFrame([("z", "", "é", "", 0), ("y", "a|b", "", "", 1), ("a", "", "", "", 2)], "name string, affixes string, mods string, mentions string, place long")
-    sources.write_metadata(metadata, f"{tmp_path}/meta")
+    sources.write_metadata(metadata, f"{tmp_path}/meta", order="place")
     rows = meta.first_rows(sources.read_metadata(spark, f"{tmp_path}/meta", placed=True), 2).collect()
     assert {r.name: (r.affixes, r.mods) for r in rows} == {"z": ("", ""), "y": ("a|b", "")}
     assert {tuple(r) for r in meta.list_edges(metadata, "affixes", "affix").collect()} == {("y", "a"), ("y", "b")}
 
 
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [f"n{i},{'x' * rng.randint(0, 60)},m,r" for i in range(700)]
+    for k, (low, high) in enumerate(((0, 300), (300, 301), (301, 301), (301, 700))):
+        (tmp_path / f"part-{k}.csv").write_text("".join(f"{line}\n" for line in lines[low:high]))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("997", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        placed = sources.read_metadata(spark, str(tmp_path), placed=True)
+        assert [r.name for r in placed.orderBy("place").collect()] == [f"n{i}" for i in range(700)]
+        assert sorted(r.place for r in placed.collect()) == list(range(700))
+        assert [r.name for r in meta.first_rows(placed, 305).orderBy(F.substring("name", 2, 9).cast("int")).collect()] == [f"n{i}" for i in range(305)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_itemsets_equal_brute_force(spark):
+    rng = random.Random(6)
+    held = {f"u{i}": {c for k, c in enumerate("abcdefghij") if rng.random() < 0.9 - 0.08 * k} for i in range(60)}
+    rows = [(u, c) for u, cs in held.items() for c in cs]
+    for support, size in ((20, 4), (12, 5), (61, 3), (1, 2), (30, 1)):
+        want = {}
+        for k in range(1, size + 1):
+            for items in combinations("abcdefghij", k):
+                n = sum(set(items) <= cs for cs in held.values())
+                want |= {items: n} if n >= support else {}
+        got = {tuple(r["items"]): r.freq for r in baskets.frequent_itemsets(edges(spark, rows, "author", "subreddit"), support, size).collect()}
+        assert got == want
+    with pytest.raises(ValueError):
+        baskets.frequent_itemsets(edges(spark, rows, "author", "subreddit"), 0, 3)
+
+
+def test_candidates_have_frequent_subsets_only(spark):
+    sets = [[0, 1], [0, 2], [1, 2], [0, 3], [1, 3], [2, 4]]
+    frequent = session.materialize(spark.createDataFrame([(s,) for s in sets], "items array<long>"), "sets")
+    assert [tuple(r["items"]) for r in baskets.candidate_sets(frequent, 3).orderBy("items").collect()] == [(0, 1, 2), (0, 1, 3)]
+
+
+@pytest.mark.parametrize("heavy_tiles", [0, 1, 2, 8])
+def test_features_in_many_tiles(spark, heavy_tiles):
+    rng = random.Random(9)
+    rows = [(o, f) for f in range(90) for o in rng.sample(range(200), rng.choice((1, 2, 5, 150)))]
+    sets: dict[int, set] = {}
+    for o, f in rows:
+        sets.setdefault(o, set()).add(f)
+    want = {(i, j): n for i in sets for j in sets if i <= j and (n := len(sets[i] & sets[j]))}
+    frame = spark.createDataFrame([*rows, *rows[:50], (3, None)], "ord long, f long")
+    got = pairs.overlaps(frame, 200, "f", heavy_tiles).collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
+
+
+def test_blocks_as_ml_vectors(spark):
+    parts = spark.createDataFrame([("a", i) for i in (0, 3, 4, 9)] + [("b", 5)], "subreddit string, index long")
+    rows = index.ml_vectors(index.community_vectors(parts, 10, 4), 10, 4).collect()
+    assert {(r.subreddit, r.block, r.length, r.vector.size, tuple(r.vector.indices), tuple(r.vector.values)) for r in rows} == {
+        ("a", 0, 4, 4, (0, 3), (1.0, 1.0)), ("a", 1, 4, 4, (0,), (1.0,)), ("a", 2, 2, 4, (1,), (1.0,)), ("b", 1, 4, 4, (1,), (1.0,)),
+    }
+
+
 def test_jaccard_of_given_and_of_sharing_pairs(spark):
     rng = random.Random(2)
     sets = {f"c{i}": {str(rng.randint(0, 60)) for _ in range(rng.randint(1, 9))} for i in range(80)}
