@@ -111,16 +111,17 @@ def affix_scores(
     wanted = (directed_pairs(names) if pairs is None else pairs).select("i", "j")
     own = with_ordinals(affixes.select("name", "affix"), names, "name").select(F.col("ord").alias("i"), F.col("affix").alias("sub"))
     deciding = own.distinct() if any_affix else own.groupBy("i").agg(F.max("sub").alias("sub"))
-    parts = materialize(name_substrings(names.frame, F.col("community"), "ord").select("ord", "sub").distinct(), "substrings")
+    parts = name_substrings(names.frame, F.col("community"), "ord").select("ord", "sub").distinct()
+    words = small(words)
     held = parts.select(F.col("ord").alias("j"), "sub")
     long = deciding.where(F.length("sub") >= MIN_SHARED_AFFIX)
     hits = wanted.join(long, "i").join(held, ["j", "sub"]).select("i", "j").distinct().withColumn("score", F.lit(1.0))
     # Only pairs that share a word at all can have a word as their longest common substring.
-    worded = materialize(parts.join(small(words.select(F.col("word").alias("sub"))), "sub"), "worded")
+    worded = parts.join(words.withColumnRenamed("word", "sub"), "sub")
     sharing = wanted.join(worded.withColumnRenamed("ord", "i"), "i").join(worded.withColumnRenamed("ord", "j"), ["j", "sub"])
     candidates = materialize(sharing.select("i", "j").distinct(), "candidates")
     common = common_substrings(names, candidates)
-    known = common.join(small(words.select(F.col("word").alias("lcs"))), "lcs").select("i", "j", F.lit(0.5).alias("score"))
+    known = common.join(words.withColumnRenamed("word", "lcs"), "lcs").select("i", "j", F.lit(0.5).alias("score"))
     return hits.unionByName(known).groupBy("i", "j").agg(F.max("score").alias("affix"))
 
 

@@ -35,11 +35,11 @@ def divergent(names: DataFrame, name: Column, min_length: int = 1) -> DataFrame:
     If all places of a substring go on with the same character, on either side, the longer string stands at the same
     offsets in the same names and is preferred for every pair. Such a substring has no row, nor has one of a single name.
     """
-    parts = materialize(branching_substrings(names, name, "ord", min_length=min_length), "branching")
+    parts = branching_substrings(names, name, "ord", min_length=min_length)
     ends = parts.groupBy("sub").agg(
         (F.min("before") < F.max("before")).alias("left"), F.min("before").alias("first"), (F.min("ord") < F.max("ord")).alias("shared")
     )
-    kept = materialize(ends.where("shared AND (left OR first = '')").select("sub"), "divergent")
+    kept = ends.where("shared AND (left OR first = '')").select("sub")
     return materialize(parts.join(kept, "sub").select("ord", "start", "sub"), "substrings")
 
 

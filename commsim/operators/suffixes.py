@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 
 from commsim.session import materialize
 
-SWEPT = "part int, ord long, start int, suffix string, depths array<int>, since int, till int, summary boolean, first string, last string"
+SWEPT = "part int, ord long, start int, before string, suffix string, depths array<int>, since int, till int, summary boolean, first string, last string"
 FAR = 1 << 30
 
 
 def sorted_suffixes(names: DataFrame, name: Column, *keys: str, min_length: int = 1) -> DataFrame:
-    """``keys`` with ``start`` and ``suffix`` of every suffix of at least ``min_length`` characters, in order within and over partitions."""
+    """``keys`` with ``start``, ``suffix`` and the character ``before`` it (empty at the start of a name) of every suffix of at
+    least ``min_length`` characters, in order within and over partitions."""
     last = F.length("whole") - min_length
     starts = F.when(last >= 0, F.sequence(F.lit(0), last))
     rows = names.select(*keys, name.alias("whole")).select(*keys, "whole", F.explode(starts).alias("start"))
-    suffixes = rows.select(*keys, "start", F.substr("whole", F.col("start") + 1).alias("suffix"))
+    before = F.when(F.col("start") > 0, F.substr("whole", F.col("start"), F.lit(1))).otherwise("")
+    suffixes = rows.select(*keys, "start", before.alias("before"), F.substr("whole", F.col("start") + 1).alias("suffix"))
     return suffixes.repartitionByRange("suffix", *keys, "start").sortWithinPartitions("suffix", *keys, "start")
 
 
@@ -65,7 +67,7 @@ def _sweep(min_length: int):
             whole = before[row] if at_end else after[row]
             least = since[row] if at_end else till[row]
             yield pd.DataFrame(
-                [(part, 0, row, None, whole, least, int(at_end), True, texts[0], texts[-1])], columns=data.columns
+                [(part, 0, row, None, None, whole, least, int(at_end), True, texts[0], texts[-1])], columns=data.columns
             )
 
     return run
@@ -92,7 +94,7 @@ def branching_substrings(names: DataFrame, name: Column, *keys: str, min_length:
     """
     (key,) = keys
     ordered = sorted_suffixes(names, name, key, min_length=min_length)
-    placed = ordered.select(F.spark_partition_id().alias("part"), F.col(key).cast("long").alias("ord"), "start", "suffix")
+    placed = ordered.select(F.spark_partition_id().alias("part"), F.col(key).cast("long").alias("ord"), "start", "before", "suffix")
     swept = materialize(placed.mapInPandas(_sweep(min_length), SWEPT), "suffixes")
     summaries = swept.where("summary").collect()
     right = sorted((r.part, r.depths, r.since, r.first, r.last) for r in summaries if r.till)
@@ -105,8 +107,5 @@ def branching_substrings(names: DataFrame, name: Column, *keys: str, min_length:
         F.transform("from_left", lambda d: F.least(d, F.col("since"))), F.transform("from_right", lambda d: F.least(d, F.col("till")))
     )
     depths = F.array_distinct(F.concat("depths", F.filter(crossing, lambda d: d >= min_length)))
-    parts = rows.select(F.col("ord").alias(key), "start", "suffix", F.explode(depths).alias("depth"))
-    parts = parts.select(key, "start", F.substr("suffix", F.lit(1), F.col("depth")).alias("sub"))
-    whole = names.select(key, name.alias("whole"))
-    before = F.when(F.col("start") > 0, F.substr("whole", F.col("start"), F.lit(1))).otherwise("")
-    return parts.join(whole, key).select(key, "start", "sub", before.alias("before"))
+    parts = rows.select(F.col("ord").alias(key), "start", "before", "suffix", F.explode(depths).alias("depth"))
+    return parts.select(key, "start", F.substr("suffix", F.lit(1), F.col("depth")).alias("sub"), "before")

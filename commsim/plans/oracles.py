@@ -285,7 +285,7 @@ def _listed_pairs(pairs: str) -> str:
 
 
 ITEMSETS = f"""
-    SELECT 1 AS size, item AS items, freq FROM frequent
+    SELECT CAST(1 AS BIGINT) AS size, item AS items, freq FROM frequent
     UNION ALL SELECT 2, a || '|' || b, freq FROM two
     UNION ALL SELECT 3, a.subreddit || '|' || b.subreddit || '|' || c.subreddit, count(*) FROM basket_edges a
         JOIN basket_edges b ON a.author = b.author AND a.subreddit < b.subreddit
