@@ -1,12 +1,16 @@
-"""Main text of web pages: landmarks, then site templates found by counting element subtrees per host.
+"""Main text of web pages: site templates found by counting element subtrees per host, on top of landmarks.
 
 A page is read once into blocks of text. Elements that say what they are (menus, headers, footers, asides, forms, adverts,
-notices, comments, scripts) are left out; where a page marks its article, only the article counts, and nothing inside it is ever
-taken for a template. On other pages every element's subtree is hashed, and Spark counts for each host on how many
-different pages a hash occurs. Subtrees on many pages of their host are its template, and their blocks go.
+notices, comments, scripts) are left out with all they hold, articles too. The subtree of every other element is hashed on every page,
+inside and outside articles, and Spark counts for each host on how many different pages a hash occurs. Subtrees on many pages
+of their host are its template, and their blocks go. Of what is left, the blocks inside article or main elements count alone if they
+hold at least half of the text; otherwise the mark is not trusted and all blocks count.
 
-Pages with equal text count once per host, so that copies of a page do not make it a template. Counting
-combines map-side by host and hash; results return to the pages by plain joins of written tables.
+Pages of one title, or without a title of equal text, count once per host, so that copies of a page and edited copies do not make
+its text a template. Counting combines map-side by host and hash; results return to the pages by plain joins of written tables.
+
+Markup is scanned from left to right and no part of it twice, however broken. Once a tag's quotes do not close before the page ends,
+tags end at the next ``>``; without one, the rest is text. A subtree's hash follows from running sums over the page's tags and texts.
 
 Defined results: null and empty pages have an empty text; a null or odd url belongs to the host with the empty name; repeated
 rows give equal results; an empty table gives an empty result; other columns are left out. Whole pages are read.
@@ -26,13 +30,13 @@ from commsim.session import materialize
 
 MIN_PAGES = 5
 SHARE = 0.3
+MAX_DEPTH = 32  # elements nested deeper are no templates by themselves, but go with the elements around them
+READ = "page_id long, url string, host string, blocks array<struct<text:string,around:array<int>,inside:boolean>>, subtrees array<long>, title string"
 
-MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>
-    |<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S | re.I | re.X,
-)
+RAW = frozenset("script style noscript template iframe textarea title svg math".split())
+CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,21 +49,29 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot select div article section main body nav aside".split())
 MAIN = frozenset(("article", "main"))
+WHOLE = frozenset(("html", "body"))  # they hold the whole page
 LEFT_OUT = frozenset("head nav header footer aside form button select dialog menu object video audio canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# Names that leave an element out, unless a name of content stands beside them in the same word.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside "
-    "footer header masthead comment comments disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe share "
-    "sharing social related widget".split()
+    "promo banner nav navbar navigation menu breadcrumb breadcrumbs aside footer header masthead notice notification popup modal subscribe "
+    "share sharing social related widget".split()
 )
 CONTENT_NAMES = frozenset("article content main body text post entry story".split())
+# Names that always do.
+FIRM_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar comment comments disqus replies cookie cookies consent gdpr newsletter".split()
+)
+MODIFIERS = frozenset("has with no without".split())  # they say something about an element that holds or lacks the named one
+
+BASE, MODULUS = 0x1F3D5B79A7C6E5D3, (1 << 61) - 1
 
 
 def left_out(tag: str, attrs: str) -> bool:
     """Whether an element says that it is no main text."""
     if tag in LEFT_OUT:
         return True
-    if not attrs or tag in MAIN or tag in ("html", "body"):
+    if not attrs or tag in ("html", "body"):
         return False
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
@@ -70,140 +82,218 @@ def left_out(tag: str, attrs: str) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = set(re.split(r"[^a-z0-9]+", one))
-                if words & NAMES and not words & CONTENT_NAMES:
+                if not words & MODIFIERS and (words & FIRM_NAMES or (words & NAMES and not words & CONTENT_NAMES)):
                     return True
     return False
 
 
-def blocks_of(html: str | None) -> list[tuple[str, list[int]]]:
-    """Blocks of text in page order, each with the hashes of the elements around it that could be templates.
-
-    With an article or main element, the blocks inside it, without hashes.
-    """
-    import xxhash
-
-    found: list[tuple[str, list[int], bool]] = []  # text, elements around it, inside a main element
-    stack: list[list] = []  # tag, element number, left out, inside main
-    pieces: list[str] = []
-    stream: list[str] = []  # tags and texts, whose runs are the subtrees
-    spans: list[list[int]] = []
-    any_main, at, html = False, 0, html or ""
-
-    def flush() -> None:
-        text = " ".join("".join(pieces).split())
-        pieces.clear()
-        if text and not (stack and stack[-1][2]):
-            found.append((text, [e[1] for e in stack], bool(stack) and stack[-1][3]))
-
-    def close(depth: int) -> None:
-        while len(stack) > depth:
-            if stack[-1][0] not in INLINE:
-                flush()
-            spans[stack.pop()[1]][1] = len(stream)
-
-    def text(raw: str) -> None:
-        if raw:
-            pieces.append(unescape(raw))
-            stream.append(raw)
-
-    for m in MARKUP.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if m["cdata"]:
-            text(m["cdata"])
-        elif m["raw"]:
-            stream.append(f"<{m['raw'].lower()}>")
-        elif not tag:
+def markup(html: str) -> Iterator[tuple[str, str, str]]:
+    """``(kind, name, content)`` from left to right: a ``text``, an ``open`` or ``close`` tag with its attributes, or a ``raw`` element."""
+    at, size, quotes_close = 0, len(html), True
+    while at < size:
+        low = html.find("<", at)
+        if low < 0:
+            break
+        if low > at:
+            yield "text", "", html[at:low]
+        at = low
+        if html.startswith("<!--", low):
+            end = html.find("-->", low + 4)
+            at = size if end < 0 else end + 3
             continue
-        elif m["end"]:
-            if tag not in INLINE:
-                flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
+        if html.startswith("<![CDATA[", low):
+            end = html.find("]]>", low)
+            if end >= 0:
+                yield "cdata", "", html[low + 9 : end]
+                at = end + 3
+                continue
+        named = None
+        if not html.startswith(("<!", "<?"), low):
+            named = TAG_NAME.match(html, low + 1)
+            if not named:
+                yield "text", "", "<"
+                at = low + 1
+                continue
+        end = -1
+        if named and quotes_close:
+            place = named.end()
+            while found := QUOTE_OR_END.search(html, place):
+                if found[0] == ">":
+                    end = found.start()
                     break
-                if stack[depth][0] in MAIN and tag not in MAIN and tag not in ("body", "html"):
+                place = html.find(found[0], found.end()) + 1
+                if not place:
                     break
+            quotes_close = end >= 0
+        if end < 0:
+            end = html.find(">", low)
+        if end < 0:
+            yield "text", "", html[low:]
+            return
+        at = end + 1
+        if not named:
+            continue
+        tag, closing = named[1].lower(), html[low + 1] == "/"
+        if tag in RAW and not closing:
+            last = CLOSING[tag].search(html, at)
+            yield "raw", tag, html[at : last.start() if last else size] if tag == "title" else ""
+            at = last.end() if last else size
         else:
-            if tag not in INLINE:
-                flush()
-            if tag in CLOSES_P or tag in SIBLINGS:
-                closes = SIBLINGS.get(tag, {"p"})
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in closes:
-                        close(depth)
-                        break
-                    if stack[depth][0] in HOLDERS:
-                        break
-            stream.append(f"<{tag}>")
-            if tag in VOID or m["attrs"].endswith("/"):
-                if tag == "br":
-                    pieces.append(" ")
-                continue
-            main = tag in MAIN or 'role="main"' in m["attrs"]
-            any_main |= main
-            outer = stack[-1] if stack else None
-            skip = False if main and not (outer and outer[3]) else bool(outer and outer[2]) or left_out(tag, m["attrs"])
-            spans.append([len(stream) - 1, len(stream)])
-            stack.append([tag, len(spans) - 1, skip, main or bool(outer and outer[3])])
-    text(html[at:])
-    flush()
-    close(0)
-    if any_main:
-        return [(t, []) for t, _, inside in found if inside]
-    hashes: dict[int, int] = {}
-
-    def hashed(element: int) -> int:
-        if element not in hashes:
-            lo, hi = spans[element]
-            hashes[element] = xxhash.xxh64_intdigest(" ".join("".join(stream[lo:hi]).split()).encode("utf-8", "surrogatepass")) >> 1
-        return hashes[element]
-
-    return [(t, [hashed(e) for e in around]) for t, around, _ in found]
+            yield "close" if closing else "open", tag, html[named.end() : end]
+    if at < size:
+        yield "text", "", html[at:]
+
+
+class Page:
+    """``blocks`` of text in page order, ``(text, places in subtrees, inside a main element)``, the hashes ``subtrees`` around them, and the ``title``."""
+
+    def __init__(self, html: str | None):
+        self.found: list[tuple[str, list[int], bool]] = []
+        self.stack: list[list] = []  # tag, element number or -1, left out, inside main
+        self.pieces: list[str] = []
+        self.title = ""
+        self.sums, self.powers, self.spans = [0], [1], []
+        for kind, name, content in markup(html or ""):
+            if kind in ("text", "cdata"):
+                self.text(content)
+            elif kind == "raw":
+                self.count(f"<{name}>")
+                self.title = self.title or " ".join(unescape(content).split())
+            elif kind == "close":
+                self.end(name)
+            else:
+                self.begin(name, content)
+        self.flush()
+        self.close(0)
+        self.number()
+
+    def count(self, token: str) -> None:
+        """Goes on with the running sum whose differences are the subtrees' hashes."""
+        import xxhash
+
+        value = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        self.sums.append((self.sums[-1] * BASE + value) % MODULUS)
+        self.powers.append(self.powers[-1] * BASE % MODULUS)
+
+    def text(self, raw: str) -> None:
+        self.pieces.append(unescape(raw))
+        if plain := " ".join(raw.split()):
+            self.count(plain)
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.pieces).split())
+        self.pieces.clear()
+        if text and not (self.stack and self.stack[-1][2]):
+            self.found.append((text, [e[1] for e in self.stack[:MAX_DEPTH] if e[1] >= 0], bool(self.stack) and self.stack[-1][3]))
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            if self.stack[-1][0] not in INLINE:
+                self.flush()
+            element = self.stack.pop()[1]
+            if element >= 0:
+                self.spans[element][1] = len(self.sums) - 1
+
+    def end(self, tag: str) -> None:
+        if tag not in INLINE:
+            self.flush()
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] == tag:
+                self.close(depth)
+                break
+            if self.stack[depth][0] in MAIN and tag not in MAIN and tag not in ("body", "html"):
+                break
+
+    def begin(self, tag: str, attrs: str) -> None:
+        if tag not in INLINE:
+            self.flush()
+        if tag in CLOSES_P or tag in SIBLINGS:
+            closes = SIBLINGS.get(tag, {"p"})
+            for depth in range(len(self.stack) - 1, -1, -1):
+                if self.stack[depth][0] in closes:
+                    self.close(depth)
+                    break
+                if self.stack[depth][0] in HOLDERS:
+                    break
+        self.count(f"<{tag}>")
+        if tag in VOID or attrs.endswith("/"):
+            if tag == "br":
+                self.pieces.append(" ")
+            return
+        outer = self.stack[-1] if self.stack else None
+        skip = bool(outer and outer[2]) or left_out(tag, attrs)
+        element = -1
+        if not skip and tag not in WHOLE and len(self.stack) < MAX_DEPTH:
+            element = len(self.spans)
+            self.spans.append([len(self.sums) - 2, len(self.sums) - 1])
+        self.stack.append([tag, element, skip, tag in MAIN or 'role="main"' in attrs or bool(outer and outer[3])])
+
+    def number(self) -> None:
+        places: dict[int, int] = {}
+        self.blocks = [(t, [places.setdefault(e, len(places)) for e in around], inside) for t, around, inside in self.found]
+        self.subtrees = []
+        for element in places:
+            lo, hi = self.spans[element]
+            self.subtrees.append((self.sums[hi] - self.sums[lo] * self.powers[hi - lo]) % MODULUS)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        read = [blocks_of(html) for html in batch["html"]]
+        pages = [Page(html) for html in batch["html"]]
         yield pd.DataFrame(
             {
                 "page_id": batch["page_id"].astype("Int64"),
                 "url": batch["url"],
                 "host": batch["host"],
-                "blocks": [[{"text": t, "around": a} for t, a in blocks] for blocks in read],
+                "blocks": [[{"text": t, "around": a, "inside": i} for t, a, i in page.blocks] for page in pages],
+                "subtrees": [page.subtrees for page in pages],
+                "title": [page.title for page in pages],
             }
         )
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``(host, subtree)`` of the subtrees on at least ``min_pages`` and ``share`` of the different pages of a host.
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, host, blocks, subtrees, title, signature, origin)`` of ``(page_id, url, html)``, written.
 
-    ``pages`` has ``host``, ``signature`` (equal for pages of equal text) and ``blocks``.
+    ``signature`` is equal for pages of equal text, ``origin`` for those that count as one.
     """
-    seen = pages.where(F.size("blocks") > 0).select("host", "signature", F.array_distinct(F.flatten("blocks.around")).alias("around"))
-    subtrees = seen.select("host", "signature", F.explode("around").alias("subtree")).distinct()
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
+    named = pages.select("page_id", "url", "html", host.alias("host"))
+    read = named.mapInPandas(_read, READ)
+    read = read.withColumn("signature", F.md5(F.array_join("blocks.text", "\n")))
+    return materialize(read.withColumn("origin", F.when(F.col("title") != "", F.md5("title")).otherwise(F.col("signature"))), "pages")
+
+
+def templates(read: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """``(host, subtree)`` of the subtrees on at least ``min_pages`` and ``share`` of the different pages of a host."""
+    seen = read.where(F.size("blocks") > 0).select("host", "origin", "subtrees")
+    subtrees = seen.select("host", "origin", F.explode("subtrees").alias("subtree")).distinct()
     counts = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    sizes = materialize(seen.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    sizes = materialize(seen.select("host", "origin").distinct().groupBy("host").agg(F.count("*").alias("pages")), "hosts")
     often = materialize(counts.where(F.col("n") >= min_pages), "subtrees")
     return often.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).select("host", "subtree")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``(page_id, url, text)`` for every row of ``(page_id, url, html)``."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
-    named = pages.select("page_id", "url", "html", host.alias("host"))
-    schema = "page_id long, url string, host string, blocks array<struct<text:string,around:array<long>>>"
-    read = named.mapInPandas(_read, schema)
-    read = materialize(read.withColumn("signature", F.md5(F.array_join("blocks.text", "\n"))), "pages")
-    known = materialize(templates(read, min_pages, share), "templates")
-    loose = read.where(F.exists("blocks", lambda b: F.size(b["around"]) > 0))
-    page_subtrees = loose.select("host", "signature", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree")).distinct()
+def without_templates(read: DataFrame, known: DataFrame) -> DataFrame:
+    """``read`` with the ``kept`` blocks, those in no subtree of the written ``known`` templates of their host."""
+    page_subtrees = read.select("host", "signature", F.explode("subtrees").alias("subtree")).distinct()
     gone = page_subtrees.join(known, ["host", "subtree"]).groupBy("host", "signature").agg(F.collect_set("subtree").alias("gone"))
     out = read.join(materialize(gone, "gone"), ["host", "signature"], "left")
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], "gone"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return out.select("page_id", "url", text.alias("text"))
+    in_template = lambda b: F.exists(b["around"], lambda k: F.array_contains("gone", F.get("subtrees", k)))
+    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~in_template(b)))
+    return out.withColumn("kept", kept)
+
+
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """``(page_id, url, text)`` for every row of ``(page_id, url, html)``."""
+    read = read_pages(pages)
+    left = without_templates(read, materialize(templates(read, min_pages, share), "templates"))
+    inside = F.filter("kept", lambda b: b["inside"])
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    trusted = (chars(inside) > 0) & (2 * chars(inside) >= chars(F.col("kept")))
+    chosen = F.when(trusted, inside).otherwise(F.col("kept"))
+    text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
+    return left.select("page_id", "url", text.alias("text"))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:

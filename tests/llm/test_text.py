@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -135,7 +136,7 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style></head
 
 def test_marked_articles(spark):
     rows = [(1, "http://h/1", PAGE.format(n=1)), (1, "http://h/1", PAGE.format(n=1)), (2, None, None), (None, "", ""), (3, "x", "just text < 3 &lt;b&gt;")]
-    rows += [(4, "http://h/4", "<article><p>" + "x y " * 100_000 + "</article>"), (5, "http://h/5", "<div class=ad>no<article>yes"), (6, "http://h/6", "<p>open <b>a<p>b</p>")]
+    rows += [(4, "http://h/4", "<article><p>" + "x y " * 100_000 + "</article>"), (5, "http://h/5", "<div class=ad>no</div><article>yes"), (6, "http://h/6", "<p>open <b>a<p>b</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("text", F.lit("y"))
     got = html.main_text(pages).collect()
     texts = {r.page_id: r.text for r in got}
@@ -144,15 +145,55 @@ def test_marked_articles(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
-def test_templates_go_but_shared_articles_stay(spark):
+def test_templates_go_inside_and_outside_articles(spark):
     menu, foot = "<div><a href=/>Home</a> <a href=/x>News</a></div>", "<div><p>All rights</p></div>"
     rows = [(i, f"http://site/{i}", f"<body>{menu}<div><p>Own text {i}</p></div>{foot}</body>") for i in range(12)]
     rows += [(100 + i, "http://site/c", f"<body>{menu}<div><p>Copied page</p></div>{foot}</body>") for i in range(40)]
     rows += [(200 + i, f"http://other/{i}", f"<body>{menu}<p>Own text {i}</p></body>") for i in range(3)]
-    rows += [(300 + i, f"http://marked/{i}", f"<main><p>Shared passage</p><p>{i}</p></main>{foot}") for i in range(9)]
+    rows += [(300 + i, f"http://marked/{i}", f"<main><p>Our letter.</p><p>Own text {i}</p></main>{foot}") for i in range(9)]
+    rows += [(400 + i, f"http://part/{i}", f"<main>{'<p>Passage.</p>' if i < 4 else ''}<p>Own text {i}</p></main>") for i in range(20)]
+    rows += [(500 + i, f"http://edited/{i}", f"<title>One</title><main><p>First part.</p><p>Edit {i}</p></main>") for i in range(30)]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Own text {i}" for i in range(12)) and all(got[100 + i] == "Copied page" for i in range(40))
-    assert all(got[200 + i] == f"Home News Own text {i}" for i in range(3)) and all(got[300 + i] == f"Shared passage {i}" for i in range(9))
+    assert all(got[200 + i] == f"Home News Own text {i}" for i in range(3)) and all(got[300 + i] == f"Own text {i}" for i in range(9))
+    assert all(got[500 + i] == f"First part. Edit {i}" for i in range(30))
+    assert all(got[400 + i] == ("Passage. " if i < 4 else "") + f"Own text {i}" for i in range(20))
+
+
+def test_left_out_elements_win_over_articles(spark):
+    story = "The story of the day is long enough."
+    pages = {
+        1: f'<div class="post">{story}</div><section class="comments"><article class="comment">Nice story, I say</article></section>',
+        2: f"<div>{story}</div><aside><article>Read this too</article></aside>",
+        3: f'<article class="post">{story}<div class="post-comments"><p>First!</p></div></article>',
+        4: f"<div>{story} {story}</div><article>A teaser</article>",
+        5: f'<article class="content has-sidebar">{story}</article><div class="content with-comments">more</div>',
+    }
+    frame = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(frame).collect()}
+    assert got == {1: story, 2: story, 3: story, 4: f"{story} {story} A teaser", 5: story}
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<", "</", "<!", "<!--", "<?", "<![CDATA[", "<script ", "<script>", "<div>", "<p><b>", "</p", '<a b="c', "&", "<title"])
+def test_broken_markup_is_read_once(piece):
+    began = time.perf_counter()
+    found = html.Page(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20 and len(found.blocks) <= 1
+
+
+def test_deep_markup_is_read_once():
+    began = time.perf_counter()
+    found = html.Page("<div>x" * 60_000)
+    assert time.perf_counter() - began < 20 and len(found.blocks) == 60_000 and len(found.subtrees) == 32
+
+
+def test_scanner():
+    read = lambda text: [x for x in html.markup(text)]
+    assert read('a<b c="x>y">d</B >') == [("text", "", "a"), ("open", "b", ' c="x>y"'), ("text", "", "d"), ("close", "b", " ")]
+    assert read("1 < 2<br/>") == [("text", "", "1 "), ("text", "", "<"), ("text", "", " 2"), ("open", "br/", "")] or read("1 < 2<br/>")[-1][:1] == ("open",)
+    assert read("<script>a<b</SCRIPT>c<!-- x --><!doctype html>") == [("raw", "script", ""), ("text", "", "c")]
+    assert read('<a b="c>d<i>e') == [("open", "a", ' b="c'), ("text", "", "d"), ("open", "i", ""), ("text", "", "e")]
+    assert read("x<a") == [("text", "", "x"), ("text", "", "<a")]
 
 
 def test_katz_counts_sum_to_one(spark):
@@ -236,4 +277,4 @@ def test_pipeline_keeps_clean_documents(spark, labelled, tmp_path):
 
 def test_every_operator_is_registered():
     names = set(contract.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
