@@ -111,7 +111,7 @@ class Matcher:
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, list[str]]]]:
     """The items in blocks of bounded size, streamed through the driver one partition at a time."""
     block, size = [], 0
-    for row in items.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator():
+    for row in items.select("item_id", "text").toLocalIterator():
         words = words_of(row.text)
         if words:
             block.append((row.item_id, words))

@@ -17,10 +17,10 @@ thing broadcast; :func:`scaled_weights` bounds that by :data:`QUANTUM` slots per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commsim.session import materialize
+from commsim.session import materialize, small
 
 QUANTUM = 64
 BLOCK_DOCS = 16
@@ -36,9 +36,23 @@ def scaled_weights(sizes: DataFrame, quantum: int = QUANTUM) -> DataFrame:
     return sizes.select("source", F.greatest(F.lit(1).cast("long"), share.cast("long")).alias("weight"))
 
 
+def common_divisor(numbers: Column) -> Column:
+    """The greatest common divisor of an array of whole numbers, by Euclid's steps, of which 64-bit numbers need under 92."""
+    zero = F.lit(0).cast("long")
+
+    def divisor(a: Column, b: Column) -> Column:
+        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
+
+    return F.greatest(F.lit(1).cast("long"), F.aggregate(numbers, zero, lambda d, n: divisor(n, d)))
+
+
 def period_plan(weights: DataFrame) -> DataFrame:
     """``(source, j, release, deadline, slot, weight, period)``: the slots of one period of the weights ``(source, weight)``."""
-    table = weights.agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("w"), F.sum("weight").alias("period"))
+    asked = weights.agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("w"))
+    asked = asked.withColumn("divisor", common_divisor(F.transform("w", lambda x: x["weight"])))
+    reduced = F.transform("w", lambda x: F.struct(x["source"].alias("source"), F.floor(x["weight"] / F.col("divisor")).alias("weight")))
+    table = asked.select(reduced.alias("w")).withColumn("period", F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + x["weight"]))
     w, period = F.col("w"), F.col("period")
 
     def step(state, t):
@@ -100,9 +114,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLO
     plan = materialize(period_plan(given), "period")
     share = plan.select("source", "weight", "period").distinct()
     rows = numbered(docs).withColumn("block", F.floor(F.col("number") / block_docs))
-    rows = rows.join(F.broadcast(share), "source").withColumn("j", F.col("block") % F.col("weight"))
+    rows = rows.join(small(share), "source").withColumn("j", F.col("block") % F.col("weight"))
     cycle = F.floor(F.col("block") / F.col("weight")) * F.col("period")
-    return rows.join(F.broadcast(plan.drop("weight", "period")), ["source", "j"]).select(
+    return rows.join(small(plan.drop("weight", "period")), ["source", "j"]).select(
         "doc_id",
         "source",
         "block",

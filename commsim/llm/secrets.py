@@ -1,7 +1,7 @@
 """Secrets: patterns propose credentials, and corpus-wide ownership tells live-looking ones from copied examples.
 
 Every candidate value is hashed; the corpus is aggregated to the distinct repositories and owners of each hash.
-A value that several owners hold is an example that has been copied around; a value of one owner looks live.
+A value that several owners or many repositories hold is an example that has been copied around; a value of few looks live.
 Spark expressions, aggregates and joins only.
 
 Defined results: a null text counts as empty; a null repository or owner counts as one further value; repeated rows
@@ -22,6 +22,7 @@ from commsim.session import materialize
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "jwt", "pem")
 SHARED_OWNERS = 3
+SHARED_REPOSITORIES = 4
 MASK = "[SECRET]"
 
 # The hex and access patterns ask for the least length at once, which finds the same long runs without the short ones.
@@ -75,10 +76,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def verdicts(found: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """One row per distinct text with candidates: ``(doc_id, text_hash, live, n_live, n_shared, most_owners)``.
+def verdicts(found: DataFrame, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+    """One row per distinct text with candidates: ``(doc_id, text_hash, live, n_live, n_shared, most_owners, most_repositories)``.
 
-    ``live`` lists ``(start, stop)`` of the values of spans that fewer than ``shared_owners`` owners hold.
+    ``live`` lists ``(start, stop)`` of the values of spans that fewer than ``shared_owners`` owners and fewer than
+    ``shared_repositories`` repositories hold.
     """
     owners = materialize(ownership(found), "owners")
     candidates = (
@@ -94,19 +96,22 @@ def verdicts(found: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
         )
     )
     judged = materialize(candidates, "candidates").join(owners, "value_hash")
-    live = F.col("n_owners") < shared_owners
+    live = (F.col("n_owners") < shared_owners) & (F.col("n_repositories") < shared_repositories)
     return judged.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.when(live, F.struct("start", "stop")))).alias("live"),
         F.sum(live.cast("long")).alias("n_live"),
         F.sum((~live).cast("long")).alias("n_shared"),
         F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
     )
 
 
-def scan(docs: DataFrame, repository: Column, owner: Column, shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def scan(
+    docs: DataFrame, repository: Column, owner: Column, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES
+) -> DataFrame:
     """One row per document: its spans and the verdict on their values."""
     found = findings(docs, repository, owner)
-    judged = verdicts(found, shared_owners).withColumnRenamed("doc_id", "judged_id").withColumnRenamed("text_hash", "judged_hash")
+    judged = verdicts(found, shared_owners, shared_repositories).withColumnRenamed("doc_id", "judged_id").withColumnRenamed("text_hash", "judged_hash")
     same = F.col("doc_id").eqNullSafe(F.col("judged_id")) & (F.col("text_hash") == F.col("judged_hash"))
     return found.join(judged, same, "left").drop("judged_id", "judged_hash")
 
@@ -125,9 +130,11 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, (s["pos"] + 1).cast("int"))))
 
 
-def redact(docs: DataFrame, repository: Column, owner: Column, shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def redact(
+    docs: DataFrame, repository: Column, owner: Column, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES
+) -> DataFrame:
     """``docs`` with live-looking values masked and ``n_chars``, if there is one, set anew; all rows stay."""
-    judged = verdicts(findings(docs, repository, owner), shared_owners).where("n_live > 0")
+    judged = verdicts(findings(docs, repository, owner), shared_owners, shared_repositories).where("n_live > 0")
     key, text_hash, live = spare(docs, "__id"), spare(docs, "__hash"), spare(docs, "__live")
     judged = judged.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("live").alias(live))
     hit = docs["doc_id"].eqNullSafe(judged[key]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged[text_hash])
@@ -159,4 +166,5 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
         F.coalesce("most_owners", F.lit(0)).alias("most_owners"),
+        F.coalesce("most_repositories", F.lit(0)).alias("most_repositories"),
     )

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +30,7 @@ from commsim.session import materialize
 LENGTH = 50
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD = 1 << 64
+POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,15 +44,19 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-@lru_cache(maxsize=8)
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
+    """Powers of an odd base and of its inverse, modulo 2**64; remembered in a plain table, which travels to workers by value."""
+    if (base, n) in POWERS:
+        return POWERS[base, n]
     out = []
     for b in (base, pow(base, -1, WORD)):
         p = np.full(n, b, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+    if len(POWERS) >= 8:
+        POWERS.clear()
+    POWERS[base, n] = (out[0], out[1])
+    return POWERS[base, n]
 
 
 def rolling(hashes: np.ndarray, length: int, base: int) -> np.ndarray:

@@ -178,3 +178,18 @@ def test_digest_of_the_queries(spark, tmp_path):
             assert r.base_sha256 == hashlib.sha256(base_text(TRICKY[r.doc_id], rules).encode()).hexdigest()
             counts = [k for _, k, _ in base_spans(TRICKY[r.doc_id], rules)]
             assert all(r[f"n_{name}"] == counts.count(k) for k, (name, _, _) in enumerate(rules))
+
+
+def test_values_of_many_repositories_of_one_owner_are_examples(spark):
+    value = "password = Qwerty99zz"
+    rows = [(k, value, lang, "hot") for k, lang in enumerate(("en", "de", "fr", "es", "en"))] + [(9, "token: Single12345", "en", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_live, r.n_shared, r.most_owners, r.most_repositories) for r in secrets.scan(docs, secrets.repository_of(), secrets.owner_of()).collect()}
+    assert got == {**{k: (0, 1, 1, 4) for k in range(5)}, 9: (1, 0, 1, 1)}
+
+
+def test_weights_count_in_lowest_terms(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(300)], "doc_id long, source string")
+    weigh = lambda a, b: spark.createDataFrame([("a", a), ("b", b)], "source string, weight long")
+    large, least = (mixing.mix(docs, weigh(*w), block_docs=5) for w in ((6_000_000_000_000, 4_000_000_000_000), (3, 2)))
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, least.collect()))

@@ -120,7 +120,11 @@ def test_items_are_found_up_to_the_budget(spark):
     got = [(r.doc_id, r.item_id) for r in decontamination.contamination(frame, bench).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 50
     small = [b for b in decontamination.blocks(bench, block_bytes=100)]
-    assert len(small) > 3 and sum(map(len, small)) == 30
+    assert len(small) > 3 and sum(map(len, small)) == 31
+    unnamed = spark.createDataFrame([(None, "one item without an id of its own")], bench.schema)
+    holder = spark.createDataFrame([(1, "it says one item without an id of its own here"), (2, "other")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontamination.contamination(holder, unnamed).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontamination.drop_contaminated(holder, unnamed).collect()] == [2]
     kept = decontamination.drop_contaminated(frame, bench)
     assert kept.columns == frame.columns and kept.count() == sum(not any(g[0] == d for g in want) for d, _ in docs)
     assert decontamination.contamination(frame.limit(0), bench).count() == 0
