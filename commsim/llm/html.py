@@ -30,6 +30,7 @@ from commsim.session import materialize
 
 MIN_PAGES = 5
 SHARE = 0.3
+GROUP_CHARS = 1 << 21  # of markup, whose pages are handed on together
 MAX_DEPTH = 32  # elements nested deeper are no templates by themselves, but go with the elements around them
 READ = "page_id long, url string, host string, blocks array<struct<text:string,around:array<int>,inside:boolean>>, subtrees array<long>, title string"
 
@@ -239,17 +240,22 @@ class Page:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        pages = [Page(html) for html in batch["html"]]
-        yield pd.DataFrame(
-            {
-                "page_id": batch["page_id"].astype("Int64"),
-                "url": batch["url"],
-                "host": batch["host"],
-                "blocks": [[{"text": t, "around": a, "inside": i} for t, a, i in page.blocks] for page in pages],
-                "subtrees": [page.subtrees for page in pages],
-                "title": [page.title for page in pages],
-            }
-        )
+        ids = batch["page_id"].astype("Int64")
+        rows, chars = [], 0
+        for page_id, url, host, html in zip(ids, batch["url"], batch["host"], batch["html"]):
+            page = Page(html)
+            blocks = [{"text": t, "around": a, "inside": i} for t, a, i in page.blocks]
+            rows.append((page_id, url, host, blocks, page.subtrees, page.title))
+            chars += len(html or "")
+            if chars > GROUP_CHARS:
+                yield _frame(rows)
+                rows, chars = [], 0
+        if rows:
+            yield _frame(rows)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["page_id", "url", "host", "blocks", "subtrees", "title"]).astype({"page_id": "Int64"})
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
