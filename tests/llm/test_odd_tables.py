@@ -58,6 +58,8 @@ def test_odd_rows_each_have_a_result(spark, odd, name):
         assert [(r.doc_id, r.item_id, r.distance) for r in found] == [(5, 1, 0)] * 2
     else:
         table = {"op2_embeddings": "embeddings", "op6_html": "pages"}.get(name, "documents")
+        if name == "op13_packing":
+            found = [r for r in found if not r.piece]  # long texts have several pieces
         key = {"embeddings": "vec_id", "pages": "page_id"}.get(table, "doc_id")
         assert sorted((r[key] is None, r[key] or 0) for r in found) == sorted((r[0] is None, r[0] or 0) for r in ROWS[table])
 
