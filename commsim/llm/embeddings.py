@@ -2,13 +2,17 @@
 
 Every pass hashes a vector to the signs of 64 random projections and orders the vectors of one label and dimension
 lexicographically by these bits. Vectors at a small angle share long beginnings, so each is compared with a bounded
-window of its followers. The number of passes follows from the number of vectors: it makes the chance that a
-linked pair at the limit shares a window in no pass less than :data:`MISS`. Links of all passes are united; then the
-members of each component are compared in blocks, so that groups wider than a window have exact link counts.
+window of its followers. Vectors with the same first bits make a bucket. The number of passes follows from the number of
+vectors: it makes the chance that a linked pair at the limit shares a bucket in no pass less than :data:`MISS`,
+however the vectors are spread.
 
-Equal vectors count as one with a number of copies. A pass sorts by range, ids included, so a group of any
-size spreads over tasks. Component blocks are pairs of chunks; no pair of vectors leaves a task unless it is a link
-inside a window.
+A window covers a whole bucket unless more vectors crowd in it. Crowded buckets are counted in every pass, and those that
+hold vectors of several components found by the windows are compared in blocks, where only links between components
+matter. Links of windows and blocks are united; then the members of each component are compared in blocks, so
+that groups wider than a window have exact link counts.
+
+Equal vectors count as one with a number of copies. A pass sorts by range, whole buckets to a task except the largest,
+which are spread by their keys. Blocks are pairs of chunks; no pair of vectors leaves a task unless it is a link.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, link with
 nothing; so do vectors of different dimensions; repeated rows of an id count as one vector, and each gets the result; a row
@@ -19,14 +23,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commsim.llm.components import components
-from commsim.session import materialize
+from commsim.session import materialize, small
 
 LEAST = 0.98
 WINDOW = 24
@@ -43,14 +49,17 @@ def usable(embedding: str = "embedding"):
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def bucket_bits(vectors: int, window: int = WINDOW) -> int:
+    """Bits of a bucket; vectors that spread evenly fill a quarter of a window, so few buckets need blocks."""
+    return min(BITS - 1, max(4, math.ceil(math.log2(max(2, vectors) / max(1, window / 4)))))
+
+
 def n_passes(vectors: int, least: float = LEAST, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the limit has shared a window but for the chance ``miss``.
+    """Passes after which a pair at the limit has shared a bucket but for the chance ``miss``.
 
-    A bit of such a pair agrees with probability ``1 - angle / pi``, and vectors that share
-    ``log2(vectors / window)`` bits stand in one window.
+    A bit of such a pair agrees with probability ``1 - angle / pi``, and pairs that share :func:`bucket_bits` bits are compared.
     """
-    depth = max(4.0, math.log2(max(2, vectors) / window))
-    together = (1 - math.acos(least) / math.pi) ** depth
+    together = (1 - math.acos(least) / math.pi) ** bucket_bits(vectors, window)
     return max(1, math.ceil(math.log(miss) / math.log1p(-together)))
 
 
@@ -63,7 +72,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
-def _hashed(passes: int, seed: int):
+def _hashed(passes: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -72,14 +81,13 @@ def _hashed(passes: int, seed: int):
                 part = batch.take(pa.array(np.nonzero(dims == dim)[0]))
                 if dim not in planes:
                     planes[dim] = np.random.default_rng((seed, dim)).standard_normal((dim, passes * BITS))
-                bits = matrix(part.column("embedding")) @ planes[dim] > 0
+                signs = matrix(part.column("embedding")) @ planes[dim] > 0
+                names = part.schema.names
                 for p in range(passes):
-                    words = np.packbits(bits[:, p * BITS : (p + 1) * BITS], axis=1).view(">u8").ravel().astype(np.uint64)
+                    words = np.packbits(signs[:, p * BITS : (p + 1) * BITS], axis=1).view(">u8").ravel().astype(np.uint64)
                     key = (words ^ np.uint64(1 << 63)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("label"), part.column("dim"), pa.array(np.full(len(part), p, np.int32)), pa.array(key), *[part.column(c) for c in ("rep", "embedding")]],
-                        names=["label", "dim", "pass", "key", "rep", "embedding"],
-                    )
+                    own = [pa.array(np.full(len(part), p, np.int32)), pa.array(key), pa.array(key >> (BITS - bits))]
+                    yield pa.RecordBatch.from_arrays([*own, *part.columns], names=["pass", "key", "bucket", *names])
 
     return run
 
@@ -110,15 +118,95 @@ def _windows(least: float, window: int):
     return run
 
 
-def window_links(vectors: DataFrame, least: float = LEAST, window: int = WINDOW, miss: float = MISS, seed: int = SEED) -> DataFrame:
-    """Distinct links ``(a, b)`` met in the passes over ``(rep, label, dim, embedding)``."""
-    largest = vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    keys = "label int, dim int, pass int, key long, rep long, embedding array<double>"
-    dealt = vectors.select("rep", "label", "dim", "embedding").mapInArrow(_hashed(n_passes(largest, least, window, miss), seed), keys)
-    order = ["label", "dim", "pass", "key", "rep"]
-    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(_windows(least, window), "a long, b long").distinct()
+BUCKET = ["label", "dim", "pass", "bucket"]
+
+
+@dataclass
+class Passes:
+    """The rows of all passes over ``(rep, label, dim, embedding)`` and the buckets in which more than a window's rows crowd."""
+
+    vectors: DataFrame
+    least: float = LEAST
+    window: int = WINDOW
+    miss: float = MISS
+    seed: int = SEED
+
+    def __post_init__(self) -> None:
+        largest = self.vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        self.bits, self.number = bucket_bits(largest, self.window), n_passes(largest, self.least, self.window, self.miss)
+        counts = self.dealt(self.vectors.select("rep", "label", "dim", "embedding")).groupBy(*BUCKET).agg(F.count("*").alias("rows"))
+        self.crowded = materialize(counts.where(F.col("rows") > self.window + 1), "crowded")
+
+    def dealt(self, vectors: DataFrame) -> DataFrame:
+        """``vectors`` once for every pass, with ``pass``, ``key`` and ``bucket``."""
+        schema = T.StructType().add("pass", T.IntegerType()).add("key", T.LongType()).add("bucket", T.LongType())
+        return vectors.mapInArrow(_hashed(self.number, self.bits, self.seed), T.StructType(schema.fields + vectors.schema.fields))
+
+    def window_links(self) -> DataFrame:
+        """Distinct links ``(a, b)`` met in the windows."""
+        huge = materialize(self.crowded.where(F.col("rows") > CHUNK), "huge")
+        dealt = self.dealt(self.vectors.select("rep", "label", "dim", "embedding")).join(small(huge), BUCKET, "left")
+        spread = F.when(F.col("rows").isNotNull(), F.col("key")).otherwise(0)
+        partitions = int(self.vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = dealt.withColumn("spread", spread).repartitionByRange(partitions, *BUCKET, "spread")
+        ordered = ordered.sortWithinPartitions(*BUCKET, "key", "rep").select("label", "dim", "pass", "rep", "embedding")
+        return ordered.mapInArrow(_windows(self.least, self.window), "a long, b long").distinct()
+
+    def block_links(self, joined: DataFrame) -> DataFrame | None:
+        """Links ``(a, b)`` between the components of ``(rep, component)`` in crowded buckets; None if none holds two components.
+
+        A bucket's rows of components beyond a chunk's size stand in chunks of their own, which do not meet each other.
+        """
+        if self.crowded.isEmpty():
+            return None
+        sizes = materialize(joined.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK), "sizes")
+        grouped = self.vectors.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        grouped = grouped.join(small(sizes), "component", "left").select("rep", "label", "dim", "embedding", "component", "size")
+        grouped = materialize(grouped, "grouped")
+        part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK))
+        chunk = F.when(F.col("size").isNotNull(), F.struct(F.col("component").alias("of"), part.alias("no")))
+        rows = self.dealt(grouped).drop("key").join(small(self.crowded), BUCKET)
+        stats = rows.groupBy(*BUCKET).agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count(F.when(F.col("size").isNull(), 1)).alias("loose"),
+            F.collect_set(chunk).alias("pure"),
+        )
+        mixed = materialize(stats.where("low <> high").select(*BUCKET, F.ceil(F.col("loose") / CHUNK).alias("loose"), "pure"), "mixed")
+        if mixed.isEmpty():
+            return None
+        rows = self.dealt(grouped).drop("key").join(small(mixed), BUCKET)
+        nobody, some = F.lit(None).cast("long"), F.greatest("loose", F.lit(1))
+        loose = F.transform(F.sequence(F.lit(0).cast("long"), some - 1), lambda i: F.struct(nobody.alias("of"), i.alias("no")))
+        others = F.when(F.col("loose") > 0, F.concat(loose, "pure")).otherwise(F.col("pure"))
+        own = F.coalesce(chunk, F.struct(nobody.alias("of"), F.pmod(F.xxhash64("rep"), some).alias("no")))
+        rows = rows.select(*BUCKET, "component", "embedding", own.alias("own"), others.alias("others"))
+        met = F.explode(F.filter("others", lambda o: F.col("own.of").isNull() | o["of"].isNull() | (o["of"] != F.col("own.of"))))
+        rows = rows.select(*BUCKET, "component", "embedding", "own", met.alias("other"))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        block = F.struct(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        keys = [*BUCKET, "block"]
+        blocks = rows.select(*BUCKET, block.alias("block"), "component", "embedding", side.alias("side")).repartition(*keys)
+        return blocks.groupBy(*keys).applyInArrow(_link_block(self.least), "a long, b long").distinct()
+
+
+def _link_block(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        own, far = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
+        component = table.column("component").to_numpy()
+        links = [np.empty((0, 2), np.int64)]
+        if len(own) and len(far) and component.min() != component.max():
+            unit = matrix(table.column("embedding"))
+            for at in range(0, len(own), 256):
+                rows = own[at : at + 256]
+                i, j = np.nonzero((unit[rows] @ unit[far].T >= least) & (component[rows][:, None] != component[far]))
+                x, y = component[rows[i]], component[far[j]]
+                links.append(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0))
+        a, b = np.unique(np.concatenate(links), axis=0).T
+        return pa.table({"a": a, "b": b})
+
+    return run
 
 
 def _count_block(least: float):
@@ -159,7 +247,8 @@ def exact_counts(members: DataFrame, least: float = LEAST, chunk: int = CHUNK) -
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, window: int = WINDOW, miss: float = MISS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for every row of ``(vec_id, embedding, label)``."""
-    plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # halves what is shuffled; tasks reckon in doubles
+    plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     good = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     keyed = materialize(plain.withColumn("hash", F.when(good, F.sha2(F.to_json(F.struct("embedding")), 256))), "vectors")
     same = ["label", "hash"]
@@ -170,7 +259,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, window: int = WIND
         .withColumn("dim", F.size("embedding"))
     )
     reps = materialize(reps, "reps")
-    joined = materialize(components(window_links(reps, least, window, miss)), "joined").withColumnRenamed("node", "rep")
+    passes = Passes(reps, least, window, miss)
+    links = materialize(passes.window_links(), "links")
+    joined = materialize(components(links), "joined").withColumnRenamed("node", "rep")
+    crossing = passes.block_links(joined)
+    if crossing is not None:
+        crossing = materialize(crossing, "crossing")
+        if not crossing.isEmpty():
+            joined = materialize(components(links.unionByName(crossing)), "joined").withColumnRenamed("node", "rep")
     members = materialize(reps.join(joined, "rep").select("rep", "component", "copies", "embedding"), "members")
     counts = exact_counts(members, least)
     known = (

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -126,6 +127,44 @@ def test_embeddings_equal_brute_force(spark):
     assert counted == {i: int(inside[i].sum()) - 1 for i in range(60)}
 
 
+def cloud(seed, n, planted, dims=64, cosine=0.95):
+    """``n`` vectors at about ``cosine`` to each other and ``planted`` partners at 0.981 to the first of them."""
+    rng = np.random.default_rng(seed)
+    around = rng.standard_normal((n, dims))
+    around /= np.linalg.norm(around, axis=1)[:, None]
+    centre = np.eye(dims)[0]
+    around[:, 0] = 0
+    around /= np.linalg.norm(around, axis=1)[:, None]
+    unit = np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * around
+    side = rng.standard_normal((planted, dims))
+    side -= np.einsum("ij,ij->i", side, unit[:planted])[:, None] * unit[:planted]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    return np.concatenate((unit, 0.981 * unit[:planted] + np.sqrt(1 - 0.981**2) * side))
+
+
+@pytest.mark.parametrize("chunk", [1024, 64])
+def test_embeddings_in_a_dense_cloud(spark, monkeypatch, chunk):
+    """All planted links are found among thousands that nearly link, and beside a group of copies larger than a chunk."""
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    n = 3000 if chunk == 1024 else 700
+    unit = cloud(8, n, 100)
+    copies = unit[n // 2] + np.random.default_rng(9).standard_normal((150, 64)) * 0.002  # one component, in the cloud's buckets
+    unit = np.concatenate((unit, copies / np.linalg.norm(copies, axis=1)[:, None]))
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    low = smallest_reachable(range(len(unit)), list(zip(*(x.tolist() for x in np.nonzero(near)))))
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
+    assert got == {i: (int(near[i].sum()), low[i]) for i in range(len(unit))}
+    reps = spark.createDataFrame([(i, 1, 64, v.tolist()) for i, v in enumerate(unit)], "rep long, label int, dim int, embedding array<double>")
+    passes = embeddings.Passes(reps)
+    joined = spark.createDataFrame([(i, n + 100) for i in range(n + 100, len(unit))], "rep long, component long")
+    crossing = {(r.a, r.b) for r in passes.block_links(joined).collect()}
+    of = [min(i, n + 100) for i in range(len(unit))]
+    real = {(of[i], of[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(near))) if of[i] < of[j]}
+    assert crossing <= real and len(crossing) >= 0.9 * len(real)  # windows alone see the small buckets
+
+
 def repeats(docs, length):
     first = {}
     for doc_id, text in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
