@@ -1,9 +1,11 @@
 """Toxicity of noisy text: decode obfuscated words by a noisy channel, then score the restored text.
 
-Words that hold something else than letters, a run of three equal letters, or that are spelled out with gaps become
-character lattices: a look-alike sign may stand for a letter or for nothing, a run may stand for one or two letters, and a
-gap between single letters may be there or not. A Viterbi search finds the reading that is likeliest under a character
-trigram model of the corpus, times the channel's costs. Words of plain letters have one reading, themselves.
+Words that hold something else than letters, repeated letters, or that are spelled out with gaps become character lattices:
+a look-alike sign may stand for a letter or for nothing, a run may stand for one or two letters, a gap between single letters
+may be there or not, a star inside a word may stand for any letter, and among Latin letters a look-alike of another script
+stands for its double. A Viterbi search finds the reading that is likeliest under a character trigram model of the
+corpus, times the channel's costs. Words of plain letters have one reading, themselves; when texts are scored, words with
+double letters and neighbouring pieces of words are decoded too, if a reading with evidence is possible at all.
 
 The restored words are scored by word and word-beginning evidence. A feature counts if labelled texts tell, beyond
 what chance yields among all features tried, that it goes with toxic texts; its weight is its log odds ratio. Near copies
@@ -50,15 +52,26 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
+# Letters of the Cyrillic and Greek scripts that look like a Latin one; they count only among Latin letters.
+SCRIPTS = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
+    "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p",
+    "τ": "t", "υ": "u", "χ": "x",
+}
+WILD = "*#"
+WILD_RUN = 3  # longer runs are separators
 # Natural logarithms of what the channel does to a text.
-COST_LOOKALIKE, COST_NOISE, COST_LETTER_LOST, COST_JOIN = -2.0, -3.0, -1.0, -1.5
+COST_LOOKALIKE, COST_NOISE, COST_LETTER_LOST, COST_JOIN, COST_WILD = -2.0, -3.0, -1.0, -1.5, -3.3
+PIECES = 8
 
 TOKEN = re.compile(r"\S+")
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 RUN = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1+")
+LATIN = re.compile("[a-z]")
+FOREIGN = re.compile(f"[{''.join(SCRIPTS)}]")
 # Single letters or look-alikes with any run of other signs between them; the two kinds of signs differ, so the search is linear.
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:(?:[^\w@$!|+]|_)++(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
-ODD = re.compile(r"[\d_@$!|+(<€£¡*.\-​-‏⁠﻿]|(.)\1\1")
+ODD = re.compile(r"[\d_@$!|+(<€£¡*#.\-​-‏⁠﻿]|(.)\1\1")
 
 
 def code_table() -> np.ndarray:
@@ -105,9 +118,26 @@ def trigram_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3)
 
 
+def core_of(token: str) -> str:
+    """A token without the signs at its edges, each of which is read once."""
+    start, end = 0, len(token)
+    while start < end and not token[start].isalnum():
+        start += 1
+    while end > start and not token[end - 1].isalnum():
+        end -= 1
+    return token[start:end]
+
+
+def is_mixed(token: str) -> bool:
+    """Whether letters of other scripts that look Latin stand among Latin ones."""
+    return not token.isascii() and bool(FOREIGN.search(token)) and bool(LATIN.search(token))
+
+
 def lattice(noisy: str) -> list[list[tuple[str, float]]]:
     """For every place the outputs, up to two letters each, with their cost."""
     places, i = [], 0
+    if is_mixed(noisy):
+        noisy = "".join(SCRIPTS.get(c, c) for c in noisy)
     while i < len(noisy):
         c, run = noisy[i], 1
         while i + run < len(noisy) and noisy[i + run] == c:
@@ -119,6 +149,8 @@ def lattice(noisy: str) -> list[list[tuple[str, float]]]:
             if run > 1:
                 readings += [(letter * 2, COST_LOOKALIKE) for letter in LOOKALIKES[c]]
             places.append([*readings, ("", COST_NOISE)])
+        elif c in WILD and run <= WILD_RUN and i and noisy[i - 1].isalpha() and noisy[i + run : i + run + 1].isalpha():
+            places += [[("", 0.0), (" ", COST_JOIN), *((letter, COST_WILD) for letter in LETTERS[:26])]] * run
         else:
             places.append([("", 0.0), (" ", COST_JOIN)])
         i += run
@@ -150,10 +182,11 @@ def viterbi(noisy: str, model: np.ndarray) -> str:
 
 def readings(token: str, model: np.ndarray) -> list[str]:
     """The restored words of one lower-case token."""
-    core = EDGE.sub("", token)
-    if core.isalpha() and not RUN.search(core) and not any(c in LOOKALIKES for c in token):
+    core = core_of(token)
+    mixed = is_mixed(token)
+    if not mixed and core.isalpha() and not RUN.search(core) and not any(c in LOOKALIKES for c in token):
         return [core]
-    if not ODD.search(token) or not any(c.isalpha() for c in token):
+    if not mixed and not ODD.search(token) or not any(c.isalpha() for c in token):
         return re.findall(r"[^\W\d_]+", token)
     plain = re.findall(r"[^\W\d_]+", token)
     # Signs at the edges are read as letters too.
@@ -161,6 +194,16 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     return [*decoded, *(w for w in plain if w not in decoded)]
 
 
+def is_plain(token: str) -> bool:
+    """Whether a token has itself as its one reading, doubled letters apart."""
+    return token.isalpha() and not RUN.search(token) and not is_mixed(token)
+
+
+def skeleton(word: str) -> str:
+    """A word with every run of a letter as one letter, which its readings share."""
+    return DOUBLE.sub(r"\1", word)
+
+
 def restore(text: str, model: np.ndarray, known: dict[str, list[str]] | None = None) -> set[str]:
     """The distinct restored words of a text."""
     lower = text.lower()
@@ -168,7 +211,7 @@ def restore(text: str, model: np.ndarray, known: dict[str, list[str]] | None = N
     for match in SPELLED.finditer(lower):
         words.update(viterbi(match.group(), model).split())
     for token in set(lower.split()):
-        if token.isalpha() and not RUN.search(token):
+        if is_plain(token):
             words.add(token)
             continue
         found = known.get(token) if known is not None else None
@@ -196,15 +239,51 @@ class Model:
     prior: float
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
     heads: set[str] = field(default_factory=set)
+    bones: set[str] = field(default_factory=set)
+    starts: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
-        self.heads = {f.rstrip("*")[:HEAD] for f in self.weights}
+        stems = [f.rstrip("*") for f in self.weights]
+        self.heads = {stem[:HEAD] for stem in stems}
+        self.bones = {skeleton(head) for head in self.heads}
+        self.starts = {stem[:n] for stem in stems for n in range(1, len(stem) + 1)}
 
     def weight(self, word: str) -> float:
         if word[:HEAD] not in self.heads:
             return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
+    def doubled(self, token: str) -> tuple[str, ...]:
+        """The reading of a plain word with double letters, if it is a word with evidence."""
+        bone = skeleton(token)
+        if not any(bone[:n] in self.bones for n in range(1, HEAD + 1)):
+            return ()
+        word = viterbi(token, self.characters)
+        return (word,) if self.weight(word) > 0 else ()
+
+    def pieced(self, tokens: list[str]) -> set[str]:
+        """Words with evidence cut in pieces by white space, if the text is likelier without the gaps."""
+        found: set[str] = set()
+        for at in [i for i, token in enumerate(tokens) if token in self.starts]:
+            joined = tokens[at]
+            for n, piece in enumerate(tokens[at + 1 : at + PIECES], 2):
+                piece = core_of(piece)
+                if not piece.isalpha():
+                    break
+                joined += piece
+                if len(joined) >= HEAD and self.weight(joined) > 0 and joined not in found:
+                    parts = [*tokens[at : at + n - 1], piece]
+                    if not any(self.weight(part) > 0 for part in parts) and self.likely(joined) > sum(map(self.likely, parts)):
+                        found.add(joined)
+                if joined not in self.starts:
+                    break
+        return found
+
+    def likely(self, word: str) -> float:
+        """The log likelihood of a word and the border behind it."""
+        codes = [0, 0, *(CODE.get(c, OTHER) for c in word), 0]
+        return float(sum(self.characters[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:])))
+
     def score(self, text: str | None) -> float:
         """The probability of label 1: every distinct restored word adds its strongest evidence."""
         lower, total = (text or "").lower(), self.prior
@@ -214,14 +293,21 @@ class Model:
         if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
-        for token in set(lower.split()):
+        tokens = lower.split()
+        seen |= self.pieced(tokens)
+        for token in set(tokens):
             hits = known.get(token)
             if hits is None:
-                if token.isalpha() and not RUN.search(token):
+                if is_plain(token):
                     if self.weight(token) > 0:
                         seen.add(token)
-                    continue
-                hits = known[token] = tuple(w for w in readings(token, self.characters) if self.weight(w) > 0)
+                        continue
+                    if not DOUBLE.search(token):
+                        continue
+                    hits = self.doubled(token)
+                else:
+                    hits = tuple(w for w in readings(token, self.characters) if self.weight(w) > 0)
+                known[token] = hits
             if hits:
                 seen.update(hits)
         total += sum(self.weight(w) for w in seen)
