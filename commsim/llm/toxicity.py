@@ -61,7 +61,7 @@ SCRIPTS = {
 WILD = "*#"
 WILD_RUN = 3  # longer runs are separators
 # Natural logarithms of what the channel does to a text.
-COST_LOOKALIKE, COST_NOISE, COST_LETTER_LOST, COST_JOIN, COST_WILD = -2.0, -3.0, -1.0, -1.5, -3.3
+COST_LOOKALIKE, COST_NOISE, COST_LETTER_LOST, COST_JOIN, COST_WILD, COST_GAP = -2.0, -3.0, -1.0, -1.5, -3.3, -4.0
 PIECES = 8
 
 TOKEN = re.compile(r"\S+")
@@ -262,7 +262,7 @@ class Model:
         return (word,) if self.weight(word) > 0 else ()
 
     def pieced(self, tokens: list[str]) -> set[str]:
-        """Words with evidence cut in pieces by white space, if the text is likelier without the gaps."""
+        """Words with evidence of their own, cut in pieces by white space, if the text is much likelier without the gaps."""
         found: set[str] = set()
         for at in [i for i, token in enumerate(tokens) if token in self.starts]:
             joined = tokens[at]
@@ -271,9 +271,9 @@ class Model:
                 if not piece.isalpha():
                     break
                 joined += piece
-                if len(joined) >= HEAD and self.weight(joined) > 0 and joined not in found:
-                    parts = [*tokens[at : at + n - 1], piece]
-                    if not any(self.weight(part) > 0 for part in parts) and self.likely(joined) > sum(map(self.likely, parts)):
+                if len(joined) >= HEAD and joined in self.weights and joined not in found:
+                    parts = [core_of(part) for part in tokens[at : at + n]]
+                    if self.likely(joined) + COST_GAP > sum(map(self.likely, parts)):
                         found.add(joined)
                 if joined not in self.starts:
                     break
