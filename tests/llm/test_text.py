@@ -200,35 +200,45 @@ def test_scanner():
     assert read("x<a") == [("text", "", "x"), ("text", "", "<a")]
 
 
-def test_katz_counts_sum_to_one(spark):
+@pytest.mark.parametrize("tokens, share", [(1 << 21, 1e-4), (3000, 0.02), (3000, 2.0)])
+def test_katz_counts_sum_to_one(spark, monkeypatch, tokens, share):
+    monkeypatch.setattr(katz, "BATCH_TOKENS", tokens)
+    monkeypatch.setattr(katz, "SLOT_TOKENS", max(1000, tokens // 3))
+    monkeypatch.setattr(katz, "HEAD_SHARE", share)
+    monkeypatch.setattr(katz, "FREQUENT_SHARE", min(share, 0.01))
     rng = random.Random(3)
     words = ["a", "b", "the", "É", "of", *[f"r{i}" for i in range(400)]]
     docs = [(i, " ".join(rng.choice(words[: 5 if rng.random() < 0.7 else 405]).upper() for _ in range(rng.randint(0, 60)))) for i in range(200)]
-    docs += [(900, None), (901, ""), (None, "a b"), (5, docs[5][1]), (902, "new words\x85only here"), (903, "a " * 100_000)]
+    docs += [(900, None), (901, ""), (None, "a b"), (5, docs[5][1]), (902, "new words\x85only here"), (903, "a " * 100_000), (None, "twin pair " * 9)]
+    docs.append((next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1), "twin a twin pair twin never pair"))
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("words", F.lit(1)).withColumn("row", F.lit(1))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     token_lists = [(i, [*katz.tokens_of(t), katz.END]) for i, t in docs]
     counts = Counter(w for i, ws in token_lists if not held(i) for w in ws)
     total, floor = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
-    table, model = katz.model_of(frame.where("NOT coalesce(crc32(cast(doc_id as string)) % 5 = 1, false)").select("text"))
-    assert {r.word: r.n for r in table.collect()} == counts and model["total"] == total
-    place, _, unigram, backoff = model["frequent"]
-    h = len(backoff) - 2
-    place = {w: i for w, i in place.items() if i < h}
-    gains = {(r.pair // h, r.pair % h): r.gain for r in model["pairs"].collect()}
-    seen = Counter((b, w) for i, ws in token_lists if not held(i) for b, w in zip([None, *ws], ws))
-    assert set(gains) == {(place[b] if b else h, place[w]) for b, w in seen if (b is None or b in place) and w in place}
-    d, free = model["d"], 10 ** model["unseen"]
-    p = {w: (n * d[n] if n <= 5 else n) / model["scale"] for w, n in counts.items()}
-    assert sum(p.values()) + free == pytest.approx(1)
+    following: dict = {}
+    for i, ws in token_lists:
+        for b, w in zip([None, *ws], [] if held(i) else ws):
+            following.setdefault(b, Counter())[w] += 1
+    kept = lambda n, d: n * d[n] if n <= 5 else n
+    d = katz.discounts(Counter(counts.values()))
+    free = (total - sum(kept(n, d) for n in counts.values())) / total
+    p = {w: kept(n, d) / total for w, n in counts.items()}
     prob = lambda w: p.get(w, free)
-
-    def after(context, w):
-        row = h if context is None else place.get(context, h + 1)
-        return prob(w) * 10 ** (backoff[row] + gains.get((row, place.get(w)), 0.0))
-
-    for context in [*place, None, "r7"]:
-        assert sum(after(context, w) for w in counts) + after(context, "unknown") == pytest.approx(1)
+    d2 = katz.discounts(Counter(n for c in following.values() for n in c.values()))
+    share = {}
+    for b, c in following.items():
+        n_b = sum(c.values())
+        shrunk = n_b + (min(c.values()) > 5)
+        share[b] = {w: kept(n, d2) / shrunk for w, n in c.items()}
+    assert any(min(c.values()) > 5 for c in following.values())
+    weight = {b: (1 - sum(ps.values())) / (1 - sum(p[w] for w in ps)) for b, ps in share.items()}
+
+    def after(b, w):
+        return share[b][w] if b in share and w in share[b] else weight.get(b, 1.0) * prob(w)
+
+    for b in [*share, "unknown"]:
+        assert sum(after(b, w) for w in counts) + after(b, "unknown") == pytest.approx(1)
     got = katz.scored(frame).collect()
     want = []
     for i, ws in token_lists:
