@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commsim.operators.index import DenseIndex, dense_index, number_rows
-from commsim.session import materialize
+from commsim.session import materialize, small
 
 TILE = 64
 PAIRS_PER_TASK = 4_000_000
 HEAVY_TILES = 8
+GROUP = 8  # divides TILE
 
 
 def community_index(names: DataFrame, name: str = "subreddit", order: str | None = None) -> DenseIndex:
@@ -112,42 +113,80 @@ def member_rows(features: DataFrame, *keys: str) -> DataFrame:
     return parts.select(*keys, F.explode_outer(ordinals(F.col("part"))).alias("ord"))
 
 
-def overlaps(edges: DataFrame, size: int, feature: str, heavy_tiles: int = HEAVY_TILES) -> DataFrame:
+def overlaps(edges: DataFrame, size: int, feature: str, heavy_tiles: int = HEAVY_TILES, among: DataFrame | None = None) -> DataFrame:
     """Numbers of shared features ``(i, j, common)`` for all ``i <= j`` that share one; ``i = j`` is a community's own number.
 
     Arguments as for :func:`memberships`. Features in more than ``heavy_tiles`` tiles are counted by :func:`heavy_overlaps`; the
-    bound chooses between ways and does not change results.
+    bound chooses between ways and does not change results. ``among`` is a written table ``(g, h)`` of pairs of groups of
+    :data:`GROUP` ordinals; pairs in others are left out before they are shuffled.
     """
     if size <= TILE:
         weighted = memberships(edges, size, feature).groupBy("parts").agg(F.count("*").alias("weight"))
         blocks = weighted.select(F.col("parts")[0].alias("a"), F.col("parts")[0].alias("b"), "weight")
-        return _unfolded(blocks)
+        return _unfolded(blocks, among=among)
     if size <= TILE * heavy_tiles:
-        return _unfolded(_tile_blocks(memberships(edges, size, feature)))
+        return _unfolded(_tile_blocks(memberships(edges, size, feature), among), among=among)
     masks = materialize(_tile_masks(edges, feature), "masks")
     spread = masks.groupBy(feature).agg(F.count("*").alias("tiles")).where(F.col("tiles") > heavy_tiles)
     heavy = number_rows(spread.select(feature), feature, "number")
     if not heavy.size:
-        return _unfolded(_tile_blocks(_collected(masks, feature)))
+        return _unfolded(_tile_blocks(_collected(masks, feature), among), among=among)
     light = masks.join(heavy.bounded(heavy.frame.select(feature)), feature, "left_anti")
-    cells = _unfolded(_tile_blocks(_collected(light, feature)), summed=False)
-    turned = heavy_overlaps(masks.join(heavy.bounded(heavy.frame), feature).select("number", "tile", "mask"), size)
+    cells = _unfolded(_tile_blocks(_collected(light, feature), among), summed=False, among=among)
+    turned = _among(heavy_overlaps(masks.join(heavy.bounded(heavy.frame), feature).select("number", "tile", "mask"), size), among)
     return cells.unionByName(turned).groupBy("i", "j").agg(F.sum("weight").alias("common"))
 
 
-def _tile_blocks(features: DataFrame) -> DataFrame:
-    """The weighted pairs ``(a, b, weight)`` of tiles, ``a`` not after ``b``, of features with ``parts``."""
+def supported_overlaps(edges: DataFrame, feature: str, support: float) -> DataFrame:
+    """:func:`overlaps` of at least ``support``, found in two passes.
+
+    Communities are numbered anew by their own number, so that a group of :data:`GROUP` neighbours is about equally large. The first
+    pass counts the features that two groups share, each once; no pair of their communities shares more. The second counts exactly
+    the pairs in groups that share ``support``.
+    """
+    edges = materialize(edges.where(F.col(feature).isNotNull()).select("ord", feature).distinct(), "edges")
+    own = materialize(edges.groupBy("ord").agg(F.count("*").alias("n")).where(F.col("n") >= support), "own")
+    ranks = number_rows(own.select(F.struct("n", "ord").alias("by")), "by", "rank")
+    ranked = ranks.frame.select("by.ord", "rank")
+    kept = materialize(edges.join(ranks.bounded(ranked), "ord").select(F.col("rank").alias("ord"), feature), "ranked_edges")
+    grouped = kept.select(_group("ord").alias("ord"), feature)
+    shared = overlaps(grouped, -(-ranks.size // GROUP), feature).where(F.col("common") >= support)
+    among = materialize(shared.select(F.col("i").alias("g"), F.col("j").alias("h")), "groups")
+    exact = overlaps(kept, ranks.size, feature, among=among).where(F.col("common") >= support)
+    for rank, ordinal in (("i", "x"), ("j", "y")):
+        named = ranked.select(F.col("rank").alias(rank), F.col("ord").alias(ordinal))
+        exact = exact.join(ranks.bounded(named), rank)
+    return exact.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "common")
+
+
+def _group(ordinal) -> Column:
+    return F.floor(F.col(ordinal) / GROUP)
+
+
+def _among(cells: DataFrame, among: DataFrame | None) -> DataFrame:
+    if among is None:
+        return cells
+    found = cells.select("*", _group("i").alias("g"), _group("j").alias("h")).join(small(among), ["g", "h"], "left_semi")
+    return found.drop("g", "h")
+
+
+def _tile_blocks(features: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """The weighted pairs ``(a, b, weight)`` of tiles, ``a`` not after ``b``, of features with ``parts``; ``among`` as for :func:`overlaps`."""
     weighted = features.groupBy("parts").agg(F.count("*").alias("weight"))
     firsts = weighted.select(F.explode_outer("parts").alias("a"), "parts", "weight")
     later = F.filter("parts", lambda p: p["tile"] >= F.col("a.tile"))
     blocks = firsts.select("a", F.explode_outer(later).alias("b"), "weight")
+    if among is not None:
+        first, second = (F.floor(F.col(g) * GROUP / TILE).cast("int") for g in ("g", "h"))
+        tiles = materialize(among.select(first.alias("s"), second.alias("t")).distinct(), "tiles")
+        blocks = blocks.select("*", F.col("a.tile").alias("s"), F.col("b.tile").alias("t")).join(small(tiles), ["s", "t"], "left_semi")
     return blocks.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def _unfolded(blocks: DataFrame, summed: bool = True) -> DataFrame:
+def _unfolded(blocks: DataFrame, summed: bool = True, among: DataFrame | None = None) -> DataFrame:
     members = blocks.select(ordinals(F.col("a")).alias("in_a"), ordinals(F.col("b")).alias("in_b"), "weight")
     rows = members.select(F.explode_outer("in_a").alias("i"), "in_b", "weight")
-    cells = rows.select("i", F.explode_outer("in_b").alias("j"), "weight").where("i <= j")
+    cells = _among(rows.select("i", F.explode_outer("in_b").alias("j"), "weight").where("i <= j"), among)
     return cells.groupBy("i", "j").agg(F.sum("weight").alias("common")) if summed else cells
 
 
@@ -171,9 +210,15 @@ def heavy_overlaps(masks: DataFrame, size: int) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.sum("weight").alias("weight"))
 
 
-def pair_overlaps(edges: DataFrame, communities: DenseIndex, feature: str, community: str = "subreddit") -> DataFrame:
-    """:func:`overlaps` of all listed communities, written because sizes and pairs are both read from it."""
-    return materialize(overlaps(with_ordinals(edges, communities, community), communities.size, feature), "overlaps")
+def pair_overlaps(edges: DataFrame, communities: DenseIndex, feature: str, community: str = "subreddit", support: float = 0.0) -> DataFrame:
+    """:func:`overlaps` of all listed communities, written because sizes and pairs are both read from it.
+
+    Above 1, ``support`` leaves out smaller overlaps by :func:`supported_overlaps`.
+    """
+    placed = with_ordinals(edges, communities, community)
+    if support > 1:
+        return materialize(supported_overlaps(placed, feature, support), "overlaps")
+    return materialize(overlaps(placed, communities.size, feature), "overlaps")
 
 
 def _own_counts(counts: DataFrame, communities: DenseIndex, ordinal: str, n: str) -> DataFrame:

@@ -16,12 +16,14 @@ def ngram_overlaps(posts: DataFrame, communities: DenseIndex, n: int = 2) -> Dat
     return materialize(pairs.overlaps(grams, communities.size, "ngram"), "overlaps")
 
 
-def author_overlaps(posts: DataFrame, communities: DenseIndex, exclude_author: str | None = None) -> DataFrame:
-    """Shared authors of all listed communities, optionally without one author."""
+def author_overlaps(
+    posts: DataFrame, communities: DenseIndex, exclude_author: str | None = None, support: float = 0.0
+) -> DataFrame:
+    """Shared authors of all listed communities, optionally without one author and without overlaps below ``support``."""
     rows = posts.select("subreddit", "author")
     if exclude_author is not None:
         rows = rows.where(F.col("author") != F.lit(exclude_author))
-    return pairs.pair_overlaps(rows, communities, "author")
+    return pairs.pair_overlaps(rows, communities, "author", support=support)
 
 
 def posts_to_vectors(posts: DataFrame, communities: DenseIndex, block: int = 4096) -> DataFrame:
@@ -57,7 +59,7 @@ def without_author(counts: DataFrame, posts: DataFrame, communities: DenseIndex,
 
 def user_pairs(posts: DataFrame, communities: DenseIndex, support: float = 0.0, exclude_author: str | None = "[deleted]") -> DataFrame:
     """Pairs of communities with common authors, and their counts."""
-    return baskets.pair_counts(author_overlaps(posts, communities, exclude_author), communities, support)
+    return baskets.pair_counts(author_overlaps(posts, communities, exclude_author, support), communities, support)
 
 
 def user_scores(posts: DataFrame, communities: DenseIndex, support: float = 0.0, exclude_author: str | None = "[deleted]") -> DataFrame:

@@ -284,6 +284,29 @@ def test_features_in_many_tiles(spark, heavy_tiles):
     assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
 
 
+@pytest.mark.parametrize("communities", [30, 150, 700])
+def test_overlaps_of_a_support(spark, communities):
+    rng = random.Random(4)
+    rows = [(o, f) for o in range(communities) for f in rng.sample(range(60), rng.choice((0, 1, 3, 20)) if o % 9 else 40)]
+    sets: dict[int, set] = {}
+    for o, f in rows:
+        sets.setdefault(o, set()).add(f)
+    frame = spark.createDataFrame([*rows, *rows[:50], (3, None)], "ord long, f long")
+    for support in (1.5, 15, 30, 61):
+        want = {(i, j): n for i in sets for j in sets if i <= j and (n := len(sets[i] & sets[j])) >= support}
+        got = pairs.supported_overlaps(frame, "f", support).collect()
+        assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
+
+
+def test_groups_below_the_support_are_not_counted(spark):
+    rows = [(o, o * 100 + f) for o in range(64) for f in range(5)] + [(o, -f) for o in (3, 40) for f in range(1, 10)]
+    frame = spark.createDataFrame(rows, "ord long, f long")
+    every = pairs.overlaps(frame, 64, "f")
+    among = session.materialize(spark.createDataFrame([(0, 5)], "g long, h long"), "groups")
+    assert every.count() == 65
+    assert [(r.i, r.j, r.common) for r in pairs.overlaps(frame, 64, "f", among=among).collect()] == [(3, 40, 9)]
+
+
 def test_blocks_as_ml_vectors(spark):
     parts = spark.createDataFrame([("a", i) for i in (0, 3, 4, 9)] + [("b", 5)], "subreddit string, index long")
     rows = index.ml_vectors(index.community_vectors(parts, 10, 4), 10, 4).collect()
