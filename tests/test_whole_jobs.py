@@ -19,3 +19,10 @@ def test_common_substrings_of_every_pair_of_part_names(spark, tmp_path):
     got = {(r.s1, r.s2): r.lcs for r in queries.name_lcs(spark, parts(spark, tmp_path)).collect()}
     assert set(got) == set(permutations(PARTS, 2))
     assert got["teal gasket", "teal valve"] == "teal " and got["odd valve", "hot gizmo"] == " "
+
+
+def test_affix_scores_of_every_pair_of_part_names(spark, tmp_path):
+    folder = parts(spark, tmp_path)
+    for query in (queries.affix_similarity, queries.affix_similarity_any):
+        got = {(r.s1, r.s2): r.score for r in query(spark, folder).collect()}
+        assert set(got) == set(permutations(PARTS, 2)) and set(got.values()) <= {0.0, 0.5, 1.0}
