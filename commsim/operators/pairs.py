@@ -6,8 +6,9 @@ Overlaps are counted for all pairs in one job. Communities get dense ordinals, 6
 and every feature is reduced to one 64-bit mask per tile. A feature with any number of rows is thereby at
 most one small row per tile after map-side combining. Features with equal masks then merge into one
 weighted row, and only these rows, never the members of a feature's group, are unfolded to pair counts.
-Features in many tiles are turned around: 64 of them become the bits of one word for each community, and the words of two tiles give
-all their pairs' counts at once. So no row is unfolded to more than the pairs of two tiles.
+With more tiles, a feature's members are dealt to blocks of communities, and a block's pairs are unfolded and counted where its
+rows meet, so that counts are shuffled and not the pairs of every feature. Features that an eighth of all communities hold are turned
+around: 64 of them become the bits of one word for each community, and the words of two tiles give all their pairs' counts at once.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from commsim.session import materialize, small
 TILE = 64
 PAIRS_PER_TASK = 4_000_000
 HEAVY_TILES = 8
+DENSE = 8  # 64 features held by one community in so many cost as much as bits of words as their pairs do
+BLOCKS = 256
+BLOCK_PAIRS = 100_000_000
 GROUP = 8  # divides TILE
 
 
@@ -79,8 +83,10 @@ def tile_mask(ordinal: Column) -> Column:
 
 def ordinals(part: Column) -> Column:
     """Array of the ordinals in a ``{tile, mask}`` struct."""
+    first = part["tile"].cast("long") * TILE
     bits = F.filter(F.sequence(F.lit(0), F.lit(TILE - 1)), lambda b: F.getbit(part["mask"], b) == 1)
-    return F.transform(bits, lambda b: part["tile"].cast("long") * TILE + b)
+    only = F.when(part["mask"] < 0, TILE - 1).otherwise(F.bit_count(part["mask"] - 1))  # of a single bit, its place
+    return F.when(F.bit_count(part["mask"]) == 1, F.array(first + only)).otherwise(F.transform(bits, lambda b: first + b))
 
 
 def _tile_masks(edges: DataFrame, feature: str) -> DataFrame:
@@ -116,9 +122,10 @@ def member_rows(features: DataFrame, *keys: str) -> DataFrame:
 def overlaps(edges: DataFrame, size: int, feature: str, heavy_tiles: int = HEAVY_TILES, among: DataFrame | None = None) -> DataFrame:
     """Numbers of shared features ``(i, j, common)`` for all ``i <= j`` that share one; ``i = j`` is a community's own number.
 
-    Arguments as for :func:`memberships`. Features in more than ``heavy_tiles`` tiles are counted by :func:`heavy_overlaps`; the
-    bound chooses between ways and does not change results. ``among`` is a written table ``(g, h)`` of pairs of groups of
-    :data:`GROUP` ordinals; pairs in others are left out before they are shuffled.
+    Arguments as for :func:`memberships`. With more than ``heavy_tiles`` tiles of communities, features are counted by
+    :func:`block_overlaps`, or by :func:`heavy_overlaps` if they are in more than ``heavy_tiles`` tiles and held by one community in
+    :data:`DENSE`; the bounds choose between ways and do not change results. ``among`` is a written table ``(g, h)`` of pairs of groups
+    of :data:`GROUP` ordinals; pairs in others are left out before they are shuffled.
     """
     if size <= TILE:
         weighted = memberships(edges, size, feature).groupBy("parts").agg(F.count("*").alias("weight"))
@@ -126,15 +133,49 @@ def overlaps(edges: DataFrame, size: int, feature: str, heavy_tiles: int = HEAVY
         return _unfolded(blocks, among=among)
     if size <= TILE * heavy_tiles:
         return _unfolded(_tile_blocks(memberships(edges, size, feature), among), among=among)
-    masks = materialize(_tile_masks(edges, feature), "masks")
-    spread = masks.groupBy(feature).agg(F.count("*").alias("tiles")).where(F.col("tiles") > heavy_tiles)
-    heavy = number_rows(spread.select(feature), feature, "number")
-    if not heavy.size:
-        return _unfolded(_tile_blocks(_collected(masks, feature), among), among=among)
-    light = masks.join(heavy.bounded(heavy.frame.select(feature)), feature, "left_anti")
-    cells = _unfolded(_tile_blocks(_collected(light, feature), among), summed=False, among=among)
-    turned = _among(heavy_overlaps(masks.join(heavy.bounded(heavy.frame), feature).select("number", "tile", "mask"), size), among)
-    return cells.unionByName(turned).groupBy("i", "j").agg(F.sum("weight").alias("common"))
+    held = F.aggregate("parts", F.lit(0), lambda n, p: n + F.bit_count(p["mask"]))
+    dense = (F.size("parts") > heavy_tiles) & (held * DENSE > size)
+    features = materialize(memberships(edges, size, feature).select("*", dense.alias("dense")), "features")
+    cells = block_overlaps(features.where("NOT dense"), size, among)
+    heavy = number_rows(features.where("dense").select(feature, "parts"), feature, "number")
+    if heavy.size:
+        masks = heavy.frame.select("number", F.explode("parts").alias("part")).select("number", "part.*")
+        cells = cells.unionByName(_among(heavy_overlaps(masks, size), among))
+    return cells.groupBy("i", "j").agg(F.sum("weight").alias("common"))
+
+
+def block_overlaps(features: DataFrame, size: int, among: DataFrame | None = None) -> DataFrame:
+    """Shares ``(i, j, weight)``, ``i <= j``, of what communities have in common among features with ``parts``; a pair may have several.
+
+    Features with equal members merge first. Communities make up to :data:`BLOCKS` blocks of neighbours. A feature sends each block
+    with members of it one row, its members from there on, and the rows of a block are unfolded and counted together. A block of more
+    than :data:`BLOCK_PAIRS` pairs is dealt over several tasks.
+    """
+    width = max(TILE, -(-size // BLOCKS))
+    weighted = features.groupBy("parts").agg(F.count("*").alias("weight"))
+    every = F.flatten(F.transform("parts", ordinals)).cast("array<int>")
+    members = materialize(weighted.select(every.alias("members"), "weight"), "members")
+    block = F.floor(F.col("members")[0] / width)
+    begins = F.filter(
+        F.sequence(F.lit(0), F.size("members") - 1),
+        lambda p: (p == 0) | (F.floor(F.get("members", p) / width) > F.floor(F.get("members", F.greatest(p - 1, F.lit(0))) / width)),
+    )
+    begun = members.select("members", "weight", begins.alias("begins"))
+    parts = begun.select("members", "weight", "begins", F.posexplode("begins").alias("at", "begin"))
+    own = F.coalesce(F.get("begins", F.col("at") + 1), F.size("members")) - F.col("begin")
+    rows = parts.select(own.alias("own"), F.slice("members", F.col("begin") + 1, F.size("members")).alias("members"), "weight")
+    rows = rows.select(block.alias("block"), "own", "members", "weight")
+    pairs = F.sum(F.col("own").cast("long") * F.size("members"))
+    loads = rows.groupBy("block").agg(pairs.alias("pairs")).collect()  # at most BLOCKS rows
+    shares = [(r.block, r.pairs // BLOCK_PAIRS + 1) for r in loads]
+    shares = features.sparkSession.createDataFrame(shares, "block long, shares long")
+    share = F.pmod(F.xxhash64("members"), F.col("shares"))
+    met = rows.join(F.broadcast(shares), "block").select("block", share.alias("share"), "own", "members", "weight").repartition("block", "share")
+    firsts = met.select("block", "share", F.posexplode(F.slice("members", F.lit(1), F.col("own"))).alias("at", "i"), "members", "weight")
+    later = F.slice("members", F.col("at") + 1, F.size("members"))
+    cells = firsts.select("block", "share", "i", F.explode(later).alias("j"), "weight")
+    summed = _among(cells, among).groupBy("block", "share", "i", "j").agg(F.sum("weight").alias("weight"))
+    return summed.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "weight")
 
 
 def supported_overlaps(edges: DataFrame, feature: str, support: float) -> DataFrame:
@@ -183,11 +224,11 @@ def _tile_blocks(features: DataFrame, among: DataFrame | None = None) -> DataFra
     return blocks.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def _unfolded(blocks: DataFrame, summed: bool = True, among: DataFrame | None = None) -> DataFrame:
+def _unfolded(blocks: DataFrame, among: DataFrame | None = None) -> DataFrame:
     members = blocks.select(ordinals(F.col("a")).alias("in_a"), ordinals(F.col("b")).alias("in_b"), "weight")
     rows = members.select(F.explode_outer("in_a").alias("i"), "in_b", "weight")
     cells = _among(rows.select("i", F.explode_outer("in_b").alias("j"), "weight").where("i <= j"), among)
-    return cells.groupBy("i", "j").agg(F.sum("weight").alias("common")) if summed else cells
+    return cells.groupBy("i", "j").agg(F.sum("weight").alias("common"))
 
 
 def heavy_overlaps(masks: DataFrame, size: int) -> DataFrame:

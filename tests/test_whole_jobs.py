@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+import random
+from collections import Counter
+from itertools import combinations_with_replacement, permutations
 
+from commsim.operators import pairs
 from commsim.plans import queries
 
 PARTS = ["teal gasket", "teal valve", "odd valve", "small gizmo", "hot gizmo"]
@@ -26,3 +29,14 @@ def test_affix_scores_of_every_pair_of_part_names(spark, tmp_path):
     for query in (queries.affix_similarity, queries.affix_similarity_any):
         got = {(r.s1, r.s2): r.score for r in query(spark, folder).collect()}
         assert set(got) == set(permutations(PARTS, 2)) and set(got.values()) <= {0.0, 0.5, 1.0}
+
+
+def test_scattered_features_are_not_turned_around(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "heavy_overlaps", None)
+    monkeypatch.setattr(pairs, "BLOCK_PAIRS", 200)
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(700), 15)) for _ in range(40)] * 2 + [[63, 64, 699]]
+    want = Counter(p for members in sets for p in combinations_with_replacement(members, 2))
+    frame = spark.createDataFrame([(o, f) for f, members in enumerate(sets) for o in members] + [(5, None)], "ord long, f long")
+    got = pairs.overlaps(frame, 700, "f").collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
