@@ -40,3 +40,10 @@ def test_scattered_features_are_not_turned_around(spark, monkeypatch):
     frame = spark.createDataFrame([(o, f) for f, members in enumerate(sets) for o in members] + [(5, None)], "ord long, f long")
     got = pairs.overlaps(frame, 700, "f").collect()
     assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
+
+
+def test_intersection_combines_repeats_before_its_shuffle(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "g string") for xs in (["x", "x", "y", None], ["x", "z", None, None]))
+    both = pairs.set_intersect(a, b)
+    assert sorted((r.g or "" for r in both.collect())) == ["", "x"]
+    assert "Join" not in both._jdf.queryExecution().executedPlan().toString()
