@@ -107,10 +107,10 @@ def memberships(edges: DataFrame, size: int, feature: str) -> DataFrame:
     ``edges`` has ``ord`` (see :func:`with_ordinals`) and ``feature``, with or without repeats. ``size``
     is the number of communities.
     """
-    masks = _tile_masks(edges, feature)
     if size <= TILE:
-        return masks.select(feature, F.array(F.struct("tile", "mask")).alias("parts"))
-    return _collected(masks, feature)
+        masks = edges.where(F.col(feature).isNotNull()).groupBy(feature).agg(tile_mask(F.col("ord")).alias("mask"))
+        return masks.select(feature, F.array(F.struct(F.lit(0).alias("tile"), "mask")).alias("parts"))
+    return _collected(_tile_masks(edges, feature), feature)
 
 
 def member_rows(features: DataFrame, *keys: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from commsim.functions import text as fn
 
+SPLIT_BYTES = 32 * 1024 * 1024
+
 
 def token_rows(posts: DataFrame, *keys: str, title: str = "title", keep_last_char: bool = False) -> DataFrame:
     """``keys`` and the ``tokens`` array of each post that has a title."""
@@ -23,8 +25,13 @@ def ngram_rows(posts: DataFrame, *keys: str, title: str = "title", n: int = 2, k
 def ngram_occurrences(posts: DataFrame, *keys: str, title: str = "title", n: int = 2) -> DataFrame:
     """One row per gram occurrence.
 
-    The outer explode keeps Spark from inferring a filter that would tokenise every text again.
+    Texts are dealt to tasks of about :data:`SPLIT_BYTES` first: a task that combines grams holds the different ones of its texts, and
+    splits of compressed files can hold any number. The outer explode keeps Spark from inferring a filter that would tokenise every text again.
     """
+    posts = posts.select(*keys, title).where(F.col(title).isNotNull())
+    size = posts.agg(F.sum(F.octet_length(title))).first()[0] or 0
+    if size > SPLIT_BYTES:
+        posts = posts.repartition(max(size // SPLIT_BYTES + 1, posts.sparkSession.sparkContext.defaultParallelism))
     exploded = ngram_rows(posts, *keys, title=title, n=n).select(*keys, F.explode_outer("ngrams").alias("ngram"))
     return exploded.where(F.col("ngram").isNotNull())
 

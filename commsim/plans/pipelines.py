@@ -16,6 +16,30 @@ def ngram_overlaps(posts: DataFrame, communities: DenseIndex, n: int = 2) -> Dat
     return materialize(pairs.overlaps(grams, communities.size, "ngram"), "overlaps")
 
 
+def _community_grams(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each n-gram with its communities, ``(ngram, parts)``, and their names ``(ord, subreddit)``; posts of no community are one of their own."""
+    communities = pairs.community_index(posts)
+    known = communities.bounded(communities.frame.withColumnRenamed("community", "subreddit"))
+    placed = posts.join(known, "subreddit", "left").withColumn("ord", F.coalesce("ord", F.lit(communities.size).cast("long")))
+    grams = pairs.memberships(text.ngram_occurrences(placed, "ord"), communities.size + 1, "ngram")
+    nameless = posts.sparkSession.createDataFrame([(communities.size, None)], "ord long, subreddit string")
+    named = communities.frame.select("ord", F.col("community").alias("subreddit")).union(nameless)
+    return grams, communities.bounded(named)
+
+
+def posts_to_edges(posts: DataFrame) -> DataFrame:
+    """Distinct ``(subreddit, ngram)`` edges, unfolded where each n-gram's communities are."""
+    grams, named = _community_grams(posts)
+    return pairs.member_rows(grams, "ngram").join(named, "ord").select("subreddit", "ngram")
+
+
+def posts_to_components(posts: DataFrame) -> DataFrame:
+    """The components ``(subreddit, index)`` of all edges; each gram carries its communities while it is numbered."""
+    grams, named = _community_grams(posts)
+    vocabulary = index.number_rows(grams, "ngram")
+    return pairs.member_rows(vocabulary.frame, "index").join(named, "ord").select("subreddit", "index")
+
+
 def author_overlaps(
     posts: DataFrame, communities: DenseIndex, exclude_author: str | None = None, support: float = 0.0
 ) -> DataFrame:

@@ -194,7 +194,7 @@ def ngrams_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def ngram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.ngram_edges(tables.texts(spark, sf_dir))
+    return pipelines.posts_to_edges(tables.texts(spark, sf_dir))
 
 
 # Vocabularies, indexes, components and vectors
@@ -217,8 +217,7 @@ def ngram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = materialize(text.ngram_edges(tables.texts(spark, sf_dir)), "edges")
-    return index.components(edges, index.dense_index(edges, "ngram"), "ngram")
+    return pipelines.posts_to_components(tables.texts(spark, sf_dir))
 
 
 @_query

@@ -6,8 +6,10 @@ import random
 from collections import Counter
 from itertools import combinations_with_replacement, permutations
 
-from commsim.operators import pairs
-from commsim.plans import queries
+from pyspark.sql import functions as F
+
+from commsim.operators import pairs, text
+from commsim.plans import pipelines, queries
 
 PARTS = ["teal gasket", "teal valve", "odd valve", "small gizmo", "hot gizmo"]
 
@@ -42,6 +44,19 @@ def test_scattered_features_are_not_turned_around(spark, monkeypatch):
     assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
 
 
+def test_texts_are_dealt_before_their_grams_combine(spark, monkeypatch):
+    monkeypatch.setattr(text, "SPLIT_BYTES", 1000)
+    posts = spark.createDataFrame([(f"s{k % 3}" if k % 4 else None, f"alpha w{k} beta gamma") for k in range(200)], "subreddit string, title string").coalesce(1)
+    grams = text.ngram_occurrences(posts, "subreddit")
+    assert grams.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    want = {(f"s{k % 3}" if k % 4 else None, g) for k in range(200) for g in (f"alpha w{k}", f"w{k} beta", "beta gamma")}
+    rows = pipelines.posts_to_edges(posts).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    place = {g: i for i, g in enumerate(sorted({g for _, g in want}))}
+    rows = pipelines.posts_to_components(posts).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == {(c, place[g]) for c, g in want}
+
+
 def test_intersection_combines_repeats_before_its_shuffle(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "g string") for xs in (["x", "x", "y", None], ["x", "z", None, None]))
     both = pairs.set_intersect(a, b)
