@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from itertools import combinations_with_replacement, permutations
 
+import pytest
 from pyspark.sql import functions as F
 
 from commsim.operators import pairs, text
@@ -57,6 +58,35 @@ def test_texts_are_dealt_before_their_grams_combine(spark, monkeypatch):
     assert len(rows) == len(want) and {tuple(r) for r in rows} == {(c, place[g]) for c, g in want}
 
 
+def one_file_of_texts(spark, folder) -> str:
+    texts = [(k, f"alpha w{k % 50} beta gamma" if k % 9 else None, f"src{k % 3}" if k % 7 else None) for k in [*range(200), 8, 8]]
+    posts = [(k, k % 11, "view" if k % 5 else "error", f"k{k % 200}") for k in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(posts, "event_id long, user_id long, event_type string, props string").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def counted_tasks(monkeypatch) -> list[int]:
+    """The tasks that hold the texts of each call of ``ngram_rows`` from now on."""
+    rows, tasks = text.ngram_rows, []
+
+    def counted(posts, *keys, **options):
+        tasks.append(posts.select(F.spark_partition_id().alias("p")).distinct().count())
+        return rows(posts, *keys, **options)
+
+    monkeypatch.setattr(text, "ngram_rows", counted)
+    return tasks
+
+
+@pytest.mark.parametrize("name", ["text_scores"])
+def test_query_deals_its_texts(spark, tmp_path, monkeypatch, name):
+    folder, tasks = one_file_of_texts(spark, tmp_path), counted_tasks(monkeypatch)
+    want = sorted(queries.queries()[name](spark, folder).collect())
+    monkeypatch.setattr(text, "SPLIT_BYTES", 500)
+    assert want and sorted(queries.queries()[name](spark, folder).collect()) == want
+    assert tasks[0] == 1 and tasks[-1] >= 4
+
+
 def test_intersection_combines_repeats_before_its_shuffle(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "g string") for xs in (["x", "x", "y", None], ["x", "z", None, None]))
     both = pairs.set_intersect(a, b)
