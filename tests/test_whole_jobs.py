@@ -87,6 +87,14 @@ def test_query_deals_its_texts(spark, tmp_path, monkeypatch, name):
     assert tasks[0] == 1 and tasks[-1] >= 4
 
 
+def test_fusions_deal_their_texts(spark, tmp_path, monkeypatch):
+    folder, tasks = one_file_of_texts(spark, tmp_path), counted_tasks(monkeypatch)
+    monkeypatch.setattr(text, "SPLIT_BYTES", 500)
+    scores = sorted(queries.fuse_scores(spark, folder).collect())
+    assert scores and sorted(queries.fuse_score_files(spark, folder).collect()) == scores
+    assert len(tasks) == 2 and min(tasks) >= 4
+
+
 def test_intersection_combines_repeats_before_its_shuffle(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "g string") for xs in (["x", "x", "y", None], ["x", "z", None, None]))
     both = pairs.set_intersect(a, b)
