@@ -78,7 +78,7 @@ def counted_tasks(monkeypatch) -> list[int]:
     return tasks
 
 
-@pytest.mark.parametrize("name", ["text_scores", "ngram_index"])
+@pytest.mark.parametrize("name", ["text_scores", "ngram_index", "ngram_vocab"])
 def test_query_deals_its_texts(spark, tmp_path, monkeypatch, name):
     folder, tasks = one_file_of_texts(spark, tmp_path), counted_tasks(monkeypatch)
     want = sorted(queries.queries()[name](spark, folder).collect())
