@@ -6,13 +6,16 @@ Overlaps are counted for all pairs in one job. Communities get dense ordinals, 6
 and every feature is reduced to one 64-bit mask per tile. A feature with any number of rows is thereby at
 most one small row per tile after map-side combining. Features with equal masks then merge into one
 weighted row, and only these rows, never the members of a feature's group, are unfolded to pair counts.
-With more tiles, a feature's members are dealt to blocks of communities, and a block's pairs are unfolded and counted where its
-rows meet, so that counts are shuffled and not the pairs of every feature. Features that an eighth of all communities hold are turned
-around: 64 of them become the bits of one word for each community, and the words of two tiles give all their pairs' counts at once.
+With more tiles, features with equal members merge, their sorted members are dealt to blocks of communities, and a block's pairs are
+unfolded and counted in arrays where its rows meet, so that counts are shuffled and not the pairs of every feature. Features that an
+eighth of all communities hold are turned around: 64 of them become the bits of one word for each community, and the words of two tiles
+give all their pairs' counts at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,9 @@ TILE = 64
 PAIRS_PER_TASK = 4_000_000
 HEAVY_TILES = 8
 DENSE = 8  # 64 features held by one community in so many cost as much as bits of words as their pairs do
-BLOCKS = 256
-BLOCK_PAIRS = 100_000_000
+MEAN_PAIRS = 4_000_000
+BLOCK_PAIRS = 12_000_000
+MAX_TASKS = 10_000
 GROUP = 8  # divides TILE
 
 
@@ -133,49 +137,95 @@ def overlaps(edges: DataFrame, size: int, feature: str, heavy_tiles: int = HEAVY
         return _unfolded(blocks, among=among)
     if size <= TILE * heavy_tiles:
         return _unfolded(_tile_blocks(memberships(edges, size, feature), among), among=among)
-    held = F.aggregate("parts", F.lit(0), lambda n, p: n + F.bit_count(p["mask"]))
-    dense = (F.size("parts") > heavy_tiles) & (held * DENSE > size)
-    features = materialize(memberships(edges, size, feature).select("*", dense.alias("dense")), "features")
-    cells = block_overlaps(features.where("NOT dense"), size, among)
-    heavy = number_rows(features.where("dense").select(feature, "parts"), feature, "number")
+    sets = materialize(member_sets(edges, feature), "features")
+    dense = (F.size("members") * DENSE > size) & (F.size(F.array_distinct(F.transform("members", tile))) > heavy_tiles)
+    cells, parted = block_overlaps(sets.where(~dense), size, among)
+    copies = sets.where(dense).select("members", "set", F.explode(F.sequence(F.lit(1).cast("long"), "weight")).alias("copy"))
+    heavy = number_rows(copies.select("members", F.struct("set", "copy").alias("by")), "by", "number")
     if heavy.size:
-        masks = heavy.frame.select("number", F.explode("parts").alias("part")).select("number", "part.*")
-        cells = cells.unionByName(_among(heavy_overlaps(masks, size), among))
-    return cells.groupBy("i", "j").agg(F.sum("weight").alias("common"))
+        members = heavy.frame.select("number", F.explode(F.col("members").cast("array<long>")).alias("ord"))
+        cells, parted = cells.unionByName(_among(heavy_overlaps(members, size), among)), True
+    return cells.groupBy("i", "j").agg(F.sum("weight").alias("common")) if parted else cells.withColumnRenamed("weight", "common")
 
 
-def block_overlaps(features: DataFrame, size: int, among: DataFrame | None = None) -> DataFrame:
-    """Shares ``(i, j, weight)``, ``i <= j``, of what communities have in common among features with ``parts``; a pair may have several.
+def member_sets(edges: DataFrame, feature: str) -> DataFrame:
+    """The different sets of communities that hold a feature: ``(members, weight, set)``.
 
-    Features with equal members merge first. Communities make up to :data:`BLOCKS` blocks of neighbours. A feature sends each block
-    with members of it one row, its members from there on, and the rows of a block are unfolded and counted together. A block of more
-    than :data:`BLOCK_PAIRS` pairs is dealt over several tasks.
+    ``members`` are sorted ordinals, ``weight`` the number of features with just these, and ``set`` an id, which holds once it is written.
+    Repeats combine before the one shuffle of edges.
     """
-    width = max(TILE, -(-size // BLOCKS))
-    weighted = features.groupBy("parts").agg(F.count("*").alias("weight"))
-    every = F.flatten(F.transform("parts", ordinals)).cast("array<int>")
-    members = materialize(weighted.select(every.alias("members"), "weight"), "members")
-    block = F.floor(F.col("members")[0] / width)
-    begins = F.filter(
-        F.sequence(F.lit(0), F.size("members") - 1),
-        lambda p: (p == 0) | (F.floor(F.get("members", p) / width) > F.floor(F.get("members", F.greatest(p - 1, F.lit(0))) / width)),
-    )
-    begun = members.select("members", "weight", begins.alias("begins"))
-    parts = begun.select("members", "weight", "begins", F.posexplode("begins").alias("at", "begin"))
-    own = F.coalesce(F.get("begins", F.col("at") + 1), F.size("members")) - F.col("begin")
-    rows = parts.select(own.alias("own"), F.slice("members", F.col("begin") + 1, F.size("members")).alias("members"), "weight")
-    rows = rows.select(block.alias("block"), "own", "members", "weight")
-    pairs = F.sum(F.col("own").cast("long") * F.size("members"))
-    loads = rows.groupBy("block").agg(pairs.alias("pairs")).collect()  # at most BLOCKS rows
-    shares = [(r.block, r.pairs // BLOCK_PAIRS + 1) for r in loads]
-    shares = features.sparkSession.createDataFrame(shares, "block long, shares long")
+    held = edges.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.collect_set(F.col("ord").cast("int")).alias("members"))
+    merged = held.select(F.sort_array("members").alias("members")).groupBy("members").agg(F.count("*").alias("weight"))
+    return merged.withColumn("set", F.monotonically_increasing_id())
+
+
+def block_overlaps(sets: DataFrame, size: int, among: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Shares ``(i, j, weight)``, ``i <= j``, of what communities have in common in written :func:`member_sets`, and whether a pair may have several.
+
+    Neighbouring communities make a block of about :data:`MEAN_PAIRS` pairs. A set sends each block with members of it one row, its
+    members from there on, and the rows of a block meet in one task. A block of more than :data:`BLOCK_PAIRS` pairs is dealt out in
+    shares, whose counts have to be summed.
+    """
+    at = sets.select("members", "weight", F.posexplode("members").alias("at", "first"))
+    pairs = F.sum((F.size("members") - F.col("at")).cast("long"))
+    loads = at.groupBy(tile(F.col("first")).alias("tile")).agg(pairs.alias("pairs")).collect()  # at most one row per tile
+    every = -(-size // TILE)
+    tiles = min(every, every * MEAN_PAIRS // max(1, sum(r.pairs for r in loads)) + 1)
+    blocks: dict[int, int] = {}
+    for r in loads:
+        blocks[r.tile // tiles] = blocks.get(r.tile // tiles, 0) + r.pairs
+    dealt = [(block, pairs // BLOCK_PAIRS + 1) for block, pairs in blocks.items()]
+    tasks = min(MAX_TASKS, max(1, sum(shares for _, shares in dealt)))
+    width = tiles * TILE
+    block, before = (F.floor(first / width).cast("int") for first in (F.col("first"), F.get("members", F.col("at") - 1)))
+    begun = at.where((F.col("at") == 0) | (block > before))
+    rows = begun.select(block.alias("block"), F.slice("members", F.col("at") + 1, F.size("members")).alias("members"), "weight")
+    shares = sets.sparkSession.createDataFrame(dealt, "block int, shares long")
     share = F.pmod(F.xxhash64("members"), F.col("shares"))
-    met = rows.join(F.broadcast(shares), "block").select("block", share.alias("share"), "own", "members", "weight").repartition("block", "share")
-    firsts = met.select("block", "share", F.posexplode(F.slice("members", F.lit(1), F.col("own"))).alias("at", "i"), "members", "weight")
-    later = F.slice("members", F.col("at") + 1, F.size("members"))
-    cells = firsts.select("block", "share", "i", F.explode(later).alias("j"), "weight")
-    summed = _among(cells, among).groupBy("block", "share", "i", "j").agg(F.sum("weight").alias("weight"))
-    return summed.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "weight")
+    met = rows.join(F.broadcast(shares), "block").select("block", share.alias("share"), "members", "weight").repartition(tasks, "block", "share")
+    counted = met.groupBy("block", "share").applyInArrow(_counted(width, size), "i int, j int, weight long")
+    cells = counted.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "weight")
+    return _among(cells, among), any(shares > 1 for _, shares in dealt)
+
+
+def _counted(width: int, size: int):
+    """For the rows of one block, the weights of the pairs of its members with all members not before them.
+
+    A pair is one number, and equal numbers are counted by sorting at most about :data:`PAIRS_PER_TASK` at a time.
+    """
+    number, limit = np.uint32 if width * size <= 1 << 32 else np.int64, PAIRS_PER_TASK
+
+    def summed(keys, weights):
+        if weights is None:
+            keys.sort()
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys, weights = keys[order], weights[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[starts], np.diff(starts, append=len(keys)) if weights is None else np.add.reduceat(weights, starts)
+
+    def run(table: pa.Table) -> pa.Table:
+        base = table.column("block")[0].as_py() * width
+        lists = table.column("members").combine_chunks()
+        lengths = lists.value_lengths().to_numpy().astype(np.int64)
+        members, ends = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.cumsum(lengths), lengths)
+        weights = np.repeat(table.column("weight").to_numpy(), lengths)
+        at = np.flatnonzero(members < base + width)
+        later, start, weights, members = ends[at] - at, ((members[at] - base) * size).astype(number), weights[at], members.astype(number)
+        total, found, begin = np.cumsum(later), [], 0
+        while begin < len(at):
+            done = total[begin] - later[begin]
+            end = max(begin + 1, int(np.searchsorted(total, done + limit, "right")))
+            n, w = later[begin:end], weights[begin:end]
+            second = np.arange(total[end - 1] - done) + np.repeat(at[begin:end] - (total[begin:end] - n - done), n)
+            keys = np.repeat(start[begin:end], n) + members[second]
+            found.append(summed(keys, None if (w == 1).all() else np.repeat(w, n)))
+            begin = end
+        keys, weights = found[0] if len(found) == 1 else summed(*(np.concatenate(x) for x in zip(*found)))
+        first, second = np.divmod(keys, number(size))
+        return pa.table({"i": (first + number(base)).astype(np.int32), "j": second.astype(np.int32), "weight": weights.astype(np.int64)})
+
+    return run
 
 
 def supported_overlaps(edges: DataFrame, feature: str, support: float) -> DataFrame:
@@ -231,15 +281,14 @@ def _unfolded(blocks: DataFrame, among: DataFrame | None = None) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.sum("weight").alias("common"))
 
 
-def heavy_overlaps(masks: DataFrame, size: int) -> DataFrame:
-    """Shares ``(i, j, weight)``, ``i <= j``, of what communities have in common among numbered features: ``masks`` has ``(number, tile, mask)``.
+def heavy_overlaps(members: DataFrame, size: int) -> DataFrame:
+    """Shares ``(i, j, weight)``, ``i <= j``, of what communities have in common among numbered features: ``members`` has ``(number, ord)``.
 
     64 features are the bits of one word for each community, and the 64 words of a tile are one row. A row meets those of the
     tiles not before it, one by one, and each meeting gives the pairs of two tiles by counting the bits of their words' intersections.
     """
     tiles = -(-size // TILE)
     chunk, bit = F.floor(F.col("number") / TILE), (F.col("number") % TILE).cast("int")
-    members = masks.select("number", F.explode(ordinals(F.struct("tile", "mask"))).alias("ord"))
     words = members.groupBy(chunk.alias("chunk"), "ord").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("word"))
     rows = words.groupBy("chunk", tile(F.col("ord")).alias("tile")).agg(F.collect_list(F.struct("ord", "word")).alias("words"))
     rows = materialize(rows, "words")
@@ -277,10 +326,13 @@ def jaccard(counts: DataFrame, communities: DenseIndex) -> DataFrame:
 
 def sharing_jaccard(counts: DataFrame, communities: DenseIndex) -> DataFrame:
     """Like :func:`jaccard` for the pairs that share something, which bounds the rows when no list is given."""
+    own = counts.where("i = j").select(F.col("i").alias("ord"), F.col("common").alias("n"))
+    known = materialize(communities.frame.join(communities.bounded(own), "ord", "left").na.fill(0, ["n"]), "sizes")
     named = counts.where("i < j")
-    for ordinal, name in (("i", "s1"), ("j", "s2")):
-        named = named.join(communities.bounded(communities.frame.select(F.col("ord").alias(ordinal), F.col("community").alias(name))), ordinal)
-    return _jaccard_of(_with_sizes(named, counts, communities))
+    for ordinal, name, n in (("i", "s1", "n1"), ("j", "s2", "n2")):
+        side = known.select(F.col("ord").alias(ordinal), F.col("community").alias(name), F.col("n").alias(n))
+        named = named.join(communities.bounded(side), ordinal)
+    return _jaccard_of(named)
 
 
 def _with_sizes(pairs: DataFrame, counts: DataFrame, communities: DenseIndex) -> DataFrame:

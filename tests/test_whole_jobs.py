@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commsim.operators import pairs, text
-from commsim.plans import pipelines, queries
+from commsim.plans import pipelines, queries, tables
 
 PARTS = ["teal gasket", "teal valve", "odd valve", "small gizmo", "hot gizmo"]
 
@@ -45,6 +45,30 @@ def test_scattered_features_are_not_turned_around(spark, monkeypatch):
     assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
 
 
+def test_pairs_are_counted_once_where_their_rows_meet(spark, monkeypatch):
+    for name, value in (("MEAN_PAIRS", 900), ("PAIRS_PER_TASK", 40)):
+        monkeypatch.setattr(pairs, name, value, raising=False)
+    rng = random.Random(6)
+    sets = [sorted({3, *rng.sample(range(900), 25)}) for _ in range(40)] + [[0, 3, 899]] * 70 + [[5]] * 3 + [list(range(90))]
+    want = Counter(p for members in sets for p in combinations_with_replacement(members, 2))
+    frame = spark.createDataFrame([(o, f) for f, members in enumerate(sets) for o in members] * 2 + [(5, None)], "ord long, f long")
+    counts = pairs.overlaps(frame, 900, "f")
+    assert "HashAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = counts.collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.common for r in got} == want
+    assert pairs.overlaps(frame.where("f < 0"), 900, "f").count() == 0
+
+
+def test_supplies_are_joined_once(spark, tmp_path):
+    lines, orders = [(1, 7), (1, 7), (2, 8), (2, None), (9, 7), (None, 8)], [(1, 5), (2, 5), (3, 6), (None, 6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    posts = tables.supplies(spark, str(tmp_path))
+    assert "Join" not in posts._jdf.queryExecution().executedPlan().toString()
+    assert Counter(map(tuple, posts.collect())) == Counter([("7", "5"), ("7", "5"), ("8", "5"), (None, "5")])
+    assert [tuple(r) for r in queries.user_jaccard_sharing(spark, str(tmp_path)).collect()] == [("7", "8", 1, 1, 1, 1.0)]
+
+
 def test_texts_are_dealt_before_their_grams_combine(spark, monkeypatch):
     monkeypatch.setattr(text, "SPLIT_BYTES", 1000)
     posts = spark.createDataFrame([(f"s{k % 3}" if k % 4 else None, f"alpha w{k} beta gamma") for k in range(200)], "subreddit string, title string").coalesce(1)
