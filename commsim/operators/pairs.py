@@ -27,7 +27,7 @@ PAIRS_PER_TASK = 4_000_000
 HEAVY_TILES = 8
 DENSE = 8  # 64 features held by one community in so many cost as much as bits of words as their pairs do
 MEAN_PAIRS = 4_000_000
-BLOCK_PAIRS = 12_000_000
+BLOCK_PAIRS = 9_000_000
 MAX_TASKS = 10_000
 GROUP = 8  # divides TILE
 
@@ -207,18 +207,17 @@ def _counted(width: int, size: int):
     def run(table: pa.Table) -> pa.Table:
         base = table.column("block")[0].as_py() * width
         lists = table.column("members").combine_chunks()
-        lengths = lists.value_lengths().to_numpy().astype(np.int64)
-        members, ends = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.cumsum(lengths), lengths)
-        weights = np.repeat(table.column("weight").to_numpy(), lengths)
-        at = np.flatnonzero(members < base + width)
-        later, start, weights, members = ends[at] - at, ((members[at] - base) * size).astype(number), weights[at], members.astype(number)
-        total, found, begin = np.cumsum(later), [], 0
+        lengths, members = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        at = np.flatnonzero(members < base + width).astype(np.int32)
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[at]
+        later, weights = np.cumsum(lengths, dtype=np.int32)[row] - at, table.column("weight").to_numpy()
+        total, found, begin = np.cumsum(later, dtype=np.int64), [], 0
         while begin < len(at):
             done = total[begin] - later[begin]
             end = max(begin + 1, int(np.searchsorted(total, done + limit, "right")))
-            n, w = later[begin:end], weights[begin:end]
-            second = np.arange(total[end - 1] - done) + np.repeat(at[begin:end] - (total[begin:end] - n - done), n)
-            keys = np.repeat(start[begin:end], n) + members[second]
+            n, w, own = later[begin:end], weights[row[begin:end]], at[begin:end]
+            second = np.arange(total[end - 1] - done) + np.repeat(own - (total[begin:end] - n - done), n)
+            keys = np.repeat((members[own] - base).astype(number) * number(size), n) + members[second].astype(number)
             found.append(summed(keys, None if (w == 1).all() else np.repeat(w, n)))
             begin = end
         keys, weights = found[0] if len(found) == 1 else summed(*(np.concatenate(x) for x in zip(*found)))
