@@ -47,12 +47,18 @@ def common_divisor(numbers: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.aggregate(numbers, zero, lambda d, n: divisor(n, d)))
 
 
+def reduced_weights(weights: DataFrame) -> DataFrame:
+    """``(source, weight)`` without the weights' common divisor, which shortens the period and leaves the schedule as it is."""
+    asked = weights.agg(F.collect_list(F.struct("source", "weight")).alias("w"))
+    asked = asked.withColumn("divisor", common_divisor(F.transform("w", lambda x: x["weight"])))
+    rows = asked.select(F.explode("w").alias("x"), "divisor")
+    return rows.select("x.source", F.floor(F.col("x.weight") / F.col("divisor")).alias("weight"))
+
+
 def period_plan(weights: DataFrame) -> DataFrame:
     """``(source, j, release, deadline, slot, weight, period)``: the slots of one period of the weights ``(source, weight)``."""
     asked = weights.agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("w"))
-    asked = asked.withColumn("divisor", common_divisor(F.transform("w", lambda x: x["weight"])))
-    reduced = F.transform("w", lambda x: F.struct(x["source"].alias("source"), F.floor(x["weight"] / F.col("divisor")).alias("weight")))
-    table = asked.select(reduced.alias("w")).withColumn("period", F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + x["weight"]))
+    table = asked.withColumn("period", F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + x["weight"]))
     w, period = F.col("w"), F.col("period")
 
     def step(state, t):
@@ -111,7 +117,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLO
     else:
         asked = weights.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.max("weight").cast("long").alias("weight"))
         given = sizes.join(asked, "source", "left").select("source", F.greatest(F.lit(1).cast("long"), F.coalesce("weight", F.lit(1))).alias("weight"))
-    plan = materialize(period_plan(given), "period")
+    plan = materialize(period_plan(reduced_weights(given)), "period")
     share = plan.select("source", "weight", "period").distinct()
     rows = numbered(docs).withColumn("block", F.floor(F.col("number") / block_docs))
     rows = rows.join(small(share), "source").withColumn("j", F.col("block") % F.col("weight"))
